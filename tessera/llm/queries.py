@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import bpe
 from tessera.llm.common import table
 from tessera.llm.dedup import exact_dedup
 from tessera.llm.mixing import plan_mix
+from tessera.llm.token_store import token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.token_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -22,7 +40,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op6_token_store, op7_bpe, op8_mixing, op10_exact_dedup)}
 
 
 DEDUP_SQL = """
