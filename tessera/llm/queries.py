@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, warc
+from tessera.llm.ann import search
 from tessera.llm.common import table
 from tessera.llm.dedup import exact_dedup
 from tessera.llm.mixing import plan_mix
@@ -21,6 +22,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -35,12 +40,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_token_store, op7_bpe, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op4_warc, op6_token_store, op7_bpe, op8_mixing, op9_ann, op10_exact_dedup)}
 
 
 DEDUP_SQL = """
@@ -84,5 +93,19 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 """
 
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+         sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest
+  FROM pages)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": MIX_SQL, "op10_exact_dedup": DEDUP_SQL}
+    return {"op4_warc": WARC_SQL, "op8_mixing": MIX_SQL, "op10_exact_dedup": DEDUP_SQL}
