@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +53,24 @@ def materialize(df: DataFrame) -> DataFrame:
 def store(df: DataFrame, kind: str) -> DataFrame:
     """Write as Parquet in the shared folder and reread: for wide rows, which checkpoint() would not compress."""
     path = new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Hint a broadcast only after counting: at most limit rows, else Spark shuffles and splits skewed keys."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def text_groups(column: pa.Array, most: int = 1 << 22) -> Iterator[list[str]]:
+    """The texts of an Arrow column in order, in groups of about so many characters, so that working memory follows
+    neither the batch nor the text column as a whole; a null is empty."""
+    group, size = [], 0
+    for text in column:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group

@@ -13,14 +13,16 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, new_folder, store
+from tessera.llm.common import materialize, new_folder, store, text_groups
 
 MAGIC = b"RANKVB01"
 BLOCK = 1 << 20  # ids after which a block ends with its document
@@ -56,75 +58,94 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 class _Words:
-    """Ids of white-space separated words by the tokenizers library. Its normaliser and splitter treat each such word by itself, so equal
-    words have equal ids wherever they stand, and each distinct word is encoded once."""
+    """Ids of white-space separated words by the tokenizers library. Its normaliser and splitter treat each such word by
+    itself, so equal words have equal ids wherever they stand, and each distinct word is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.forget()
+
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat = np.empty(0, np.uint32)  # the ids of all known words end to end
+        self.upto = np.zeros(1, np.int64)  # where each begins, and the last ends
+
+    def learn(self, new: list[str]) -> None:
+        lists = []
+        for start in range(0, len(new), 4096):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(new[start : start + 4096], add_special_tokens=False)]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.upto = np.r_[self.upto, self.upto[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, self.upto[-1] - len(self.flat))]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of each text."""
         if len(self.number) > REMEMBERED:
-            self.number, self.ids = {}, []
-        words = [text.split(" ") if " " in text or text else [] for text in (t.translate(_TO_SPACE) for t in texts)]
-        new = list({w for each in words for w in each if w not in self.number})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.number[word] = len(self.ids)
-                self.ids.append(np.array(found.ids, np.uint32))
-        numbers = np.fromiter((self.number[w] for each in words for w in each), np.int64)
-        used, place = np.unique(numbers, return_inverse=True)
-        parts = [self.ids[i] for i in used.tolist()]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        each = sizes[place]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(starts[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.cumsum([0, *map(len, words)])
-        return ids, np.diff(np.r_[0, ends][upto])
-
-
-_TO_SPACE = str.maketrans({c: " " for c in SPACES})
+            self.forget()
+        column = pa.array(texts, pa.large_string())
+        for space in SPACES[1:]:
+            column = pc.replace_substring(column, space, " ")
+        lists = pc.split_pattern(column, " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.number]:
+            self.learn(new)
+        known = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        place = known[coded.indices.to_numpy()]
+        starts, sizes = self.upto[place], self.upto[place + 1] - self.upto[place]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
+
+
 _WORDS: dict[str, _Words] = {}
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids binary`` (uint32, little-endian) of each row's whole text and the end id; a null text is empty. The
-    tokenizer's file is read on each worker from the installed path."""
+def id_kind(tokenizer: str, end_id: int) -> str:
+    """The narrowest numpy type for the ids between the steps: two bytes where the vocabulary allows."""
+    from tokenizers import Tokenizer
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.setdefault(tokenizer, None) or _Words(tokenizer)
-        _WORDS[tokenizer] = words
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, sizes = words.encode(texts)
-            ends = np.cumsum(sizes + 1)
-            out = np.full(len(ids) + len(texts), end_id, "<u4")
-            body = np.ones(len(out), bool)
-            body[ends - 1] = False
-            out[body] = ids
-            offsets = pa.py_buffer(np.r_[0, ends * 4].astype(np.int32).tobytes())
-            yield pa.record_batch([batch.column(0), pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(out.tobytes())])], ["doc_id", "ids"])
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
 
+def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids binary`` (integers of numpy type kind) of each row's whole text and the end id; a null text is
+    empty. The tokenizer's file is read on each worker from the installed path."""
+    size = np.dtype(kind).itemsize
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer not in _WORDS:
+            _WORDS[tokenizer] = _Words(tokenizer)
+        words = _WORDS[tokenizer]
+        for batch in batches:
+            done = 0
+            for texts in text_groups(batch.column(1)):
+                ids, sizes = words.encode(texts)
+                ends = np.cumsum(sizes + 1)
+                out = np.full(len(ids) + len(texts), end_id, kind)
+                body = np.ones(len(out), bool)
+                body[ends - 1] = False
+                out[body] = ids
+                offsets = pa.py_buffer(np.r_[0, ends * size].astype(np.int32).tobytes())
+                yield pa.record_batch([batch.column(0).slice(done, len(texts)), pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(out.tobytes())])], ["doc_id", "ids"])
+                done += len(texts)
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, ids binary")
+
+
+def id_counts(encoded: DataFrame, kind: str = "<u4") -> DataFrame:
     """``id, n`` over all rows; each task sends a row for each id it met."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                got = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if len(got) > len(total):
                     got[: len(total)] += total
                     total = got
@@ -145,13 +166,13 @@ def _block(doc_ids: list[int | None], counts: list[int], ranks: list[np.ndarray]
     return b"".join([header, known, nulls, np.array(counts, "<u4").tobytes(), control, data])
 
 
-def write_store(encoded: DataFrame, folder: str, shards: int, id_col: str = "doc_id") -> DataFrame:
+def write_store(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4", id_col: str = "doc_id") -> DataFrame:
     """Write the files and return their manifest: ``shard, path, documents, tokens, start``.
 
     Shards hold ranges of ascending ids (nulls first) of integral type. A task writes its file under a name of its own and then moves it to the
     shard's name, so a task that runs again leaves one whole file. The rank table has a row for each id of the vocabulary."""
     spark = encoded.sparkSession
-    order = [r["id"] for r in id_counts(encoded).orderBy(F.desc("n"), "id").select("id").collect()]  # at most the vocabulary
+    order = [r["id"] for r in id_counts(encoded, kind).orderBy(F.desc("n"), "id").select("id").collect()]  # at most the vocabulary
     by_rank = np.array(order, np.uint32)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -174,7 +195,7 @@ def write_store(encoded: DataFrame, folder: str, shards: int, id_col: str = "doc
             out.write(MAGIC)
             for batch in batches:
                 for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    values = table.value[np.frombuffer(raw.as_buffer(), "<u4")]
+                    values = table.value[np.frombuffer(raw.as_buffer(), kind)]
                     ids.append(doc_id)
                     counts.append(len(values))
                     ranks.append(values)
@@ -233,7 +254,8 @@ def token_store(docs: DataFrame, tokenizer: str, end_id: int, shards: int | None
     """Encode, write, read back. Each row of the input, repeated ones too, is a document of the files; among equal ids the order is open.
     An empty table gives a store without documents. Other columns are not read."""
     spark = docs.sparkSession
-    encoded = store(encode(docs, tokenizer, end_id), "ids")
+    kind = id_kind(tokenizer, end_id)
+    encoded = store(encode(docs, tokenizer, end_id, kind), "ids")
     folder = new_folder(spark, "tokens")
-    manifest = materialize(write_store(encoded, folder, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    manifest = materialize(write_store(encoded, folder, shards or int(spark.conf.get("spark.sql.shuffle.partitions")), kind))
     return read_store(spark, folder, manifest)
