@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, warc
+from tessera.llm import bpe, langid, toxicity, warc
 from tessera.llm.ann import search
-from tessera.llm.common import table
+from tessera.llm.common import is_held_out, table
 from tessera.llm.dedup import exact_dedup
 from tessera.llm.mixing import plan_mix
 from tessera.llm.token_store import token_store
@@ -22,6 +23,16 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), train=~is_held_out(F.col("doc_id")))
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~is_held_out(F.col("doc_id")))
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -49,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_warc, op6_token_store, op7_bpe, op8_mixing, op9_ann, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_langid, op2_toxicity, op4_warc, op6_token_store, op7_bpe, op8_mixing, op9_ann, op10_exact_dedup)}
 
 
 DEDUP_SQL = """
