@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import text_groups
 
@@ -235,3 +236,21 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def tag(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The input rows with ``lang_pred`` and ``lang_score`` added, in one pass without a join. The input must not have columns of these names."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, text_col, lang_col, train)))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for texts in text_groups(batch.column(at), 1 << 21):
+                names, scores = model.value.predict(texts)
+                rows = batch.slice(done, len(texts))
+                yield pa.record_batch([*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, "lang_pred", "lang_score"])
+                done += len(texts)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, pii, toxicity, warc
+from tessera.llm import bpe, langid, partenum, pii, toxicity, warc
 from tessera.llm.ann import search
 from tessera.llm.common import is_held_out, table
 from tessera.llm.dedup import exact_dedup
@@ -41,6 +41,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -64,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_langid, op2_toxicity, op3_pii, op4_warc, op6_token_store, op7_bpe, op8_mixing, op9_ann, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_langid, op2_toxicity, op3_pii, op4_warc, op5_partenum, op6_token_store, op7_bpe, op8_mixing, op9_ann, op10_exact_dedup)}
 
 
 DEDUP_SQL = """
