@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from tessera.operators import analytics, claims, exports, extraction, graph, relational, scoring, sources  # noqa: F401  they register themselves
+from tessera.plans.register import QUERIES, SQL, Query
+from tessera.streaming import events  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
