@@ -99,9 +99,15 @@ def batch_analytics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-GLEIF_STATUS = F.when(F.col("level2_status") == "success", "GLEIF Verified").when(F.col("level2_status") == "multiple_candidates", "GLEIF Multiple").when(F.col("level2_status") == "failed", "GLEIF Failed").otherwise("No GLEIF")
-CATEGORY = F.when(F.col("confidence_score") >= 85, "High Priority").when(F.col("confidence_score") >= 60, "Good Target").when(F.col("confidence_score") >= 30, "Research Required").otherwise("Manual Review")
-RECOMMENDATION = F.when(F.col("status") == "failed", "Retry with Level 2").when(F.col("confidence_score") < 70, "GLEIF Enhancement").otherwise("Ready for Analysis")
+def labels() -> list[Column]:
+    """What the export says of a domain's registry status, business category and next step; a missing score is in none of the classes."""
+    level2, score = F.col("level2_status"), F.col("confidence_score")
+    status = F.when(level2 == "success", "GLEIF Verified").when(level2 == "multiple_candidates", "GLEIF Multiple").when(level2 == "failed", "GLEIF Failed").otherwise("No GLEIF")
+    category = F.when(score >= 85, "High Priority").when(score >= 60, "Good Target").when(score >= 30, "Research Required").otherwise("Manual Review")
+    step = F.when(F.col("status") == "failed", "Retry with Level 2").when(score < 70, "GLEIF Enhancement").otherwise("Ready for Analysis")
+    return [status.alias("gleif_status"), category.alias("business_category"), step.alias("recommendation")]
+
+
 CASES_SQL = """CASE WHEN level2_status = 'success' THEN 'GLEIF Verified' WHEN level2_status = 'multiple_candidates' THEN 'GLEIF Multiple' WHEN level2_status = 'failed' THEN 'GLEIF Failed' ELSE 'No GLEIF' END AS gleif_status,
   CASE WHEN confidence_score >= 85 THEN 'High Priority' WHEN confidence_score >= 60 THEN 'Good Target' WHEN confidence_score >= 30 THEN 'Research Required' ELSE 'Manual Review' END AS business_category,
   CASE WHEN status = 'failed' THEN 'Retry with Level 2' WHEN confidence_score < 70 THEN 'GLEIF Enhancement' ELSE 'Ready for Analysis' END AS recommendation"""
@@ -126,12 +132,12 @@ def export_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     domains = DOMAINS.read(spark, sf).filter("batch_id = 'b3'")
     joined = domains.join(candidate_lists(spark, sf), F.col("id") == F.col("domain_id"), "left")
     lists = [F.coalesce(n, F.lit("")).alias(n) for n in ("all_lei_codes", "all_legal_names", "all_jurisdictions", "all_entity_statuses")]
-    return joined.select("id", "domain", "company_name", "extraction_method", "confidence_score", "status", GLEIF_STATUS.alias("gleif_status"), CATEGORY.alias("business_category"), RECOMMENDATION.alias("recommendation"), F.col("primary_lei_code").alias("lei_code"), F.coalesce("n", F.lit(0)).alias("gleif_candidate_count"), *lists).orderBy("id")
+    return joined.select("id", "domain", "company_name", "extraction_method", "confidence_score", "status", *labels(), F.col("primary_lei_code").alias("lei_code"), F.coalesce("n", F.lit(0)).alias("gleif_candidate_count"), *lists).orderBy("id")
 
 
 @query("P1_export_labels", f"SELECT id, {CASES_SQL} FROM {D} d")
 def export_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return DOMAINS.read(spark, sf).select("id", GLEIF_STATUS.alias("gleif_status"), CATEGORY.alias("business_category"), RECOMMENDATION.alias("recommendation"))
+    return DOMAINS.read(spark, sf).select("id", *labels())
 
 
 @query(

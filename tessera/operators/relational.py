@@ -12,11 +12,10 @@ AS_OF = "2001-09-01 00:00:00"
 D, C, E, R, P = DOMAINS.sql, CANDIDATES.sql, ENTITIES.sql, EDGES.sql, DUMPS.sql
 #: The full order of a domain's candidates: score, then fields that settle ties.
 BEST = "weighted_score DESC, rank_position, tie1, tie2, tie3"
-BY_SCORE = (F.desc("weighted_score"), F.asc("rank_position"), F.asc("tie1"), F.asc("tie2"), F.asc("tie3"))
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumn("rn", F.row_number().over(Window.partitionBy("domain_id").orderBy(*BY_SCORE)))
+    return candidates.withColumn("rn", F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("weighted_score"), "rank_position", "tie1", "tie2", "tie3")))
 
 
 # --- point reads -----------------------------------------------------------------------------------------------
