@@ -144,7 +144,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = NEAREST, id_col: str =
                     first, block, wanted = zip(*rows, strict=True)
                     yield pa.record_batch([pa.array(first, pa.int32()), pa.array(block, pa.int32()), pa.array(wanted, pa.binary()), batch.column(0).take(same), batch.column(1).take(same)], ["first", "block", "bits", "query", "q"])
 
-    queries = wanted.groupBy("key").agg(F.first("v").alias("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = wanted.groupBy("key").agg(F.first("v").alias("v")).repartition(parts, "key")
     probes = queries.mapInArrow(probe, "first int, block int, bits binary, query long, q array<double>")
     per_first = spark.createDataFrame([(f, int(-(-m // BLOCK))) for f, m in enumerate(sizes.reshape(-1, seconds).sum(axis=1)) if m], "first int, blocks int")
     first = F.floor(F.col("cell") / seconds).cast("int")
