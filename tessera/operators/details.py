@@ -233,3 +233,39 @@ def stalls(spark: SparkSession, sf: str) -> DataFrame:
     """Events that follow a silence of more than two hours in their batch."""
     rows = LOG.read(spark, sf).withColumn("before", F.lag("ts").over(Window.partitionBy("batch_id").orderBy("ts", "seq")))
     return rows.filter("ts - before > INTERVAL 2 HOURS").select("batch_id", "seq")
+
+
+@query("P6_claim_types", f"SELECT domain_id, lei_code, tie1, tie3, CASE WHEN rank_position = 1 THEN 'llm_extracted' ELSE 'gleif_candidate' END AS stored FROM {C} c")
+def claim_types(spark: SparkSession, sf: str) -> DataFrame:
+    """All kinds of claims are stored as one of two."""
+    return CANDIDATES.read(spark, sf).select("domain_id", "lei_code", "tie1", "tie3", F.when(F.col("rank_position") == 1, "llm_extracted").otherwise("gleif_candidate").alias("stored"))
+
+
+@query(
+    "X20_name_containment",
+    f"""SELECT domain_id, lei_code, tie1, tie3, CASE WHEN a = b THEN 100 WHEN contains(a, b) OR contains(b, a) THEN 90 ELSE cast(floor(len(list_filter(string_split(a, ' '), lambda w: len(list_filter(string_split(b, ' '), lambda v: contains(w, v) OR contains(v, w))) > 0))::DOUBLE
+        / greatest(len(string_split(a, ' ')), len(string_split(b, ' '))) * 80 + 0.5) AS BIGINT) END AS score FROM (SELECT c.*, lower(c.legal_name) AS a, lower(d.company_name) AS b FROM {C} c JOIN {D} d ON c.domain_id = d.id WHERE d.company_name IS NOT NULL) x""",
+)
+def name_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal, contained, or the share of words that hold or are held by one of the other's."""
+    companies = DOMAINS.read(spark, sf).filter("company_name IS NOT NULL").select(F.col("id").alias("domain_id"), F.lower("company_name").alias("b"))
+    rows = CANDIDATES.read(spark, sf).join(companies, "domain_id").withColumn("a", F.lower("legal_name"))
+    a, b = F.col("a"), F.col("b")
+    wa, wb = F.split(a, " "), F.split(b, " ")
+    met = F.size(F.filter(wa, lambda w: F.exists(wb, lambda v: w.contains(v) | v.contains(w))))
+    score = F.when(a == b, 100).when(a.contains(b) | b.contains(a), 90).otherwise(js_round(met / F.greatest(F.size(wa), F.size(wb)) * 80))
+    return rows.select("domain_id", "lei_code", "tie1", "tie3", score.cast("long").alias("score"))
+
+
+@query("X46_page_summary", f"SELECT dump_id, trim({DECODE_SQL(f"regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)")}) AS title, len(regexp_extract_all(html, '(?i)<meta ')) AS metas, list_slice(list_distinct(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')), 1, 5).list_sort() AS emails FROM {P} p")
+def page_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Title, number of meta tags and five addresses of each page; expressions on the page suffice."""
+    emails = F.array_sort(F.slice(F.array_distinct(F.regexp_extract_all("html", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))), 1, 5))
+    return DUMPS.read(spark, sf).select("dump_id", F.trim(decoded(F.regexp_extract("html", r"(?i)<title[^>]*>([^<]*)</title>", 1))).alias("title"), F.regexp_count("html", F.lit("(?i)<meta ")).cast("long").alias("metas"), emails.alias("emails"))
+
+
+@query("M4_refresh_due", f"SELECT lei_code FROM (SELECT lei_code, max(found_at) AS seen FROM {C} c GROUP BY lei_code) x WHERE seen < TIMESTAMP '2001-11-01' - INTERVAL 1 DAY ORDER BY seen, lei_code LIMIT 500")
+def refresh_due(spark: SparkSession, sf: str) -> DataFrame:
+    """Records not seen for a day, the oldest first; a refresh takes 500 at most."""
+    seen = CANDIDATES.read(spark, sf).groupBy("lei_code").agg(F.max("found_at").alias("seen"))
+    return seen.filter("seen < timestamp'2001-11-01' - INTERVAL 1 DAY").orderBy("seen", "lei_code").limit(500).select("lei_code")
