@@ -6,7 +6,7 @@ than k parts that hold anything, similar sets agree on a whole part, whose conte
 filled parts signs again under another partition, in the end with its empty parts too, so no similar pair is lost.
 
 A signature that few classes share makes pairs, which must agree as often as the pigeonhole principle says, and are then verified on the whole sets. A class with too many widely shared signatures
-is joined by its rarest shingles instead (prefix filtering, ordered by frequency among such classes), leaders first, then what is still apart.
+is joined by its rarest shingles instead (prefix filtering, ordered by frequency among such classes), central classes first, then what is still apart.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
                     owners.append(todo[rows[good]])
                     signs.append(mix((content[i] + tag[i] + mix(content[j] + tag[j]))[good]))
             todo = todo[~safe]
-    return np.concatenate(owners), np.concatenate(signs), np.minimum(slack, 1 << 30)
+    return np.concatenate([np.empty(0, np.int64), *owners]), np.concatenate([np.empty(0, U), *signs]), np.minimum(slack, 1 << 30)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -189,10 +189,12 @@ def signed(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
                 pick = np.repeat(np.isin(np.arange(len(counts)), once), counts)
                 found, hashes, counts = found[once], hashes[pick], counts[once]
                 owner, sign, slack = signatures(hashes, counts)
+                if not len(owner):
+                    continue
                 bucket = ((sign >> U(40)) % U(buckets)).astype(np.int64)
                 order = np.lexsort((owner, bucket))
                 owner, sign, bucket = owner[order], sign[order], bucket[order]
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 rows = []
                 for i, j in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
                     own, n = np.unique(owner[i:j], return_counts=True)
@@ -292,18 +294,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _spread(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of groups' members in different components of ``pairs``' links so far."""
-    labels = components(pairs)
-    named = materialize(groups.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")))
-    split = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    apart = named.join(split, "shingle")
-    l, r = apart.alias("l"), apart.alias("r")
-    return l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.class") < F.col("r.class")) & (F.col("l.component") != F.col("r.component"))).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
-
-
 def by_rare_shingles(sets: DataFrame) -> DataFrame:
-    """Links among the given classes: similar sets share one of the rarest n - ceil(n * NUM / DEN) + 1 shingles of either."""
+    """Links among the given classes by prefix filtering.
+
+    Shingles are ordered by their frequency among these classes, rare ones first. Similar sets share one of the first shingles, and from the
+    first shared one on enough must be left in both; for that the smaller set's must be among its very first ones. Each shingle's most
+    central class (fewest shingles of its own) is compared with the others first; then only classes still apart are."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,13 +310,32 @@ def by_rare_shingles(sets: DataFrame) -> DataFrame:
     each = materialize(sets.select("class", "n", "shingles").mapInArrow(split, "class long, n long, shingle long"))
     shared = each.groupBy("shingle").agg(F.count("*").alias("df"))
     counted = each.join(shared, "shingle").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    rare = counted.select("class", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))).alias("x")).filter("x.df > 1")
-    groups = materialize(rare.select("class", F.col("x.shingle").alias("shingle")))
-    leaders = groups.groupBy("shingle").agg(F.min("class").alias("a"))
-    star = groups.join(leaders, "shingle").select("a", F.col("class").alias("b")).filter("a < b").distinct()
-    links = materialize(verified(star, sets))
-    more = verified(_spread(links, groups), sets)
-    return materialize(links.union(more))
+    alone = F.size(F.filter("s", lambda x: x["df"] == 1)) / F.col("n")
+    probed = (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int")
+    rare = counted.select("class", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), probed)).alias("pos", "x")).filter("x.df > 1")
+    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (NUM + DEN))
+    groups = materialize(rare.select("class", "n", "alone", "pos", F.col("x.shingle").alias("shingle"), early.alias("early")))
+
+    def may_link(na: str, pa_: str, nb: str, pb: str) -> Column:
+        """Sizes near enough, and enough left after the shared shingle in both."""
+        a, b = F.col(na), F.col(nb)
+        left = F.least(a - F.col(pa_), b - F.col(pb))
+        return (a * DEN >= b * NUM) & (b * DEN >= a * NUM) & (left * (NUM + DEN) >= NUM * (a + b))
+
+    central = groups.filter("early").groupBy("shingle").agg(F.min(F.struct("alone", "class", "n", "pos")).alias("c"))
+    central = central.select("shingle", F.col("c.class").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"))
+    star = groups.join(central, "shingle").filter((F.col("a") != F.col("class")) & may_link("n", "pos", "na", "pa"))
+    direct = materialize(verified(star.select("a", F.col("class").alias("b")).distinct(), sets))
+    labels = components(direct)
+    named = materialize(groups.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    split_up = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("early").alias("any")).filter("low < high AND any").select("shingle")
+    apart = named.join(split_up, "shingle")
+    l = apart.filter("early").select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+    r = apart.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    also = (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))  # of equal sizes either may be the early one
+    more = l.join(r, (l["shingle"] == r["shingle"]) & (F.col("ca") != F.col("cb")) & (smaller | also) & may_link("na", "pa", "nb", "pb"))
+    return materialize(direct.union(verified(more.select("a", "b").distinct(), sets)))
 
 
 def links(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
