@@ -27,7 +27,7 @@ from tessera.llm.common import materialize, new_folder, store, text_groups
 MAGIC = b"RANKVB01"
 BLOCK = 1 << 20  # ids after which a block ends with its document
 #: Words that a worker remembers from earlier rows; when full it starts anew. Memory only, never the result.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: All white space that splits words for certain in any Unicode reading: what the tokenizer also drops and never joins over.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -37,19 +37,27 @@ LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of uint32 values."""
-    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    sizes = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    sizes = np.ones(len(values), np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        if len(values) and int(values.max()) > limit:
+            sizes += values > limit
     control = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     control[: len(values)] = sizes - 1
-    control = (control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    return control.tobytes(), raw[np.arange(4) < sizes[:, None]].tobytes()
+    control = control[0::4] | control[1::4] << 2 | control[2::4] << 4 | control[3::4] << 6
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
+    data = np.empty(int(at[-1]) + int(sizes[-1]) if len(values) else 0, np.uint8)
+    data[at] = values & 0xFF
+    for k in range(1, int(sizes.max(initial=1))):
+        more = np.flatnonzero(sizes > k)
+        data[at[more] + k] = values[more] >> np.uint32(8 * k) & 0xFF
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The uint32 values; a table gives the lengths behind each control byte."""
-    sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count].astype(np.int64)
-    at = np.cumsum(sizes) - sizes
-    octets = np.frombuffer(data + b"\0\0\0", np.uint8)
+    sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
+    octets = np.frombuffer(data, np.uint8)
     values = octets[at].astype(np.uint32)
     for k in range(1, int(sizes.max(initial=1))):
         more = np.flatnonzero(sizes > k)
@@ -57,6 +65,13 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return values
 
 
+def flat_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column end to end, without copying, and where each row's end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind), (ends[1:] - ends[0]) // size
+
+
 class _Words:
     """Ids of white-space separated words by the tokenizers library. Its normaliser and splitter treat each such word by
     itself, so equal words have equal ids wherever they stand, and each distinct word is encoded once."""
@@ -85,10 +100,10 @@ class _Words:
         """All ids of the texts end to end, and the number of each text."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        column = pa.array(texts, pa.large_string())
         for space in SPACES[1:]:
-            column = pc.replace_substring(column, space, " ")
-        lists = pc.split_pattern(column, " ")
+            if any(space in text for text in texts):
+                texts = [text.replace(space, " ") for text in texts]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if new := [w for w in words if w not in self.number]:
@@ -144,26 +159,22 @@ def id_counts(encoded: DataFrame, kind: str = "<u4") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            got = np.bincount(flat_ids(batch.column(0), kind)[0])
+            if len(got) > len(total):
+                got, total = total, got
+            total[: len(got)] += got
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
     return encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _block(doc_ids: list[int | None], counts: list[int], ranks: list[np.ndarray]) -> bytes:
-    values = np.concatenate(ranks) if ranks else np.empty(0, np.uint32)
+def _block(doc_ids: list[int | None], counts: np.ndarray, values: np.ndarray) -> bytes:
     control, data = pack(values)
     known = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
     nulls = bytes(d is None for d in doc_ids)
     header = struct.pack("<5I", len(doc_ids), sum(nulls), len(values), len(control), len(data))
-    return b"".join([header, known, nulls, np.array(counts, "<u4").tobytes(), control, data])
+    return b"".join([header, known, nulls, counts.astype("<u4").tobytes(), control, data])
 
 
 def write_store(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4", id_col: str = "doc_id") -> DataFrame:
@@ -189,24 +200,18 @@ def write_store(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4",
         fs, root = pafs.FileSystem.from_uri(folder)
         path = f"{root}/shard-{task.partitionId():06d}.bin"
         own = f"{path}.{task.taskAttemptId()}"
-        documents = tokens = held = 0
-        ids, counts, ranks = [], [], []
+        documents = tokens = 0
         with fs.open_output_stream(own) as out:
             out.write(MAGIC)
             for batch in batches:
-                for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    values = table.value[np.frombuffer(raw.as_buffer(), kind)]
-                    ids.append(doc_id)
-                    counts.append(len(values))
-                    ranks.append(values)
-                    held += len(values)
-                    if held >= BLOCK:
-                        out.write(_block(ids, counts, ranks))
-                        documents, tokens, held = documents + len(ids), tokens + held, 0
-                        ids, counts, ranks = [], [], []
-            if ids:
-                out.write(_block(ids, counts, ranks))
-                documents, tokens = documents + len(ids), tokens + held
+                ids, ends = flat_ids(batch.column(1), kind)
+                doc_ids, begin = batch.column(0).to_pylist(), 0
+                while begin < len(doc_ids):  # whole documents, up to BLOCK ids or one document
+                    start = int(ends[begin - 1]) if begin else 0
+                    end = max(begin + 1, int(np.searchsorted(ends, start + BLOCK, side="right")))
+                    values = table.value[ids[start : ends[end - 1]]]
+                    out.write(_block(doc_ids[begin:end], np.diff(np.r_[start, ends[begin:end]]), values))
+                    documents, tokens, begin = documents + end - begin, tokens + len(values), end
         fs.move(own, path)
         yield pa.record_batch([pa.array([task.partitionId()], pa.int32()), pa.array([f"shard-{task.partitionId():06d}.bin"]), pa.array([documents], pa.int64()), pa.array([tokens], pa.int64())], ["shard", "path", "documents", "tokens"])
 
