@@ -23,8 +23,8 @@ SAMPLE = 16_384
 RERANK = 3_000
 SHARE = 0.4
 NEAREST = 10
-#: Centroids of a half follow the square root of the entries, up to this; the counts of all cells then take 8 MB.
-MOST_CENTROIDS = 1024
+#: Centroids of a half follow the square root of the entries, up to this; the counts of all cells then take 2 MB.
+MOST_CENTROIDS = 512
 #: Mean entries of a cell.
 PER_CELL = 1.5
 #: Entries of a cell that one task compares; larger cells are dealt into blocks.

@@ -26,8 +26,8 @@ from tessera.llm.common import materialize, new_folder, store, text_groups
 
 MAGIC = b"RANKVB01"
 BLOCK = 1 << 20  # ids after which a block ends with its document
-#: Words that a worker remembers from earlier rows; when full it starts anew. Memory only, never the result.
-REMEMBERED = 1_500_000
+#: Words, and parts of words, that a worker remembers from earlier rows; when full it starts anew. Memory only, never the result.
+REMEMBERED = 900_000
 #: All white space that splits words for certain in any Unicode reading: what the tokenizer also drops and never joins over.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -72,49 +72,69 @@ def flat_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind), (ends[1:] - ends[0]) // size
 
 
+class _Ids:
+    """Lists of ids by string: a number for each string, and all ids end to end."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat = np.empty(0, np.uint32)
+        self.upto = np.zeros(1, np.int64)  # where each begins, and the last ends
+
+    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.upto = np.r_[self.upto, self.upto[-1] + np.cumsum(sizes)]
+        self.flat = np.r_[self.flat, ids]
+
+    def get(self, strings: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings[place] end to end, and the number of each."""
+        at = np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))[place]
+        starts, sizes = self.upto[at], self.upto[at + 1] - self.upto[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
+
 class _Words:
-    """Ids of white-space separated words by the tokenizers library. Its normaliser and splitter treat each such word by
-    itself, so equal words have equal ids wherever they stand, and each distinct word is encoded once."""
+    """Ids of white-space separated words by the tokenizers library. Its normaliser and splitter treat each such word by itself, so equal words
+    have equal ids wherever they stand. Between a letter or digit and ASCII punctuation the splitter parts too, so a new word is looked up in such parts,
+    in lower case if it is all ASCII; the library sees each distinct part once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.empty(0, np.uint32)  # the ids of all known words end to end
-        self.upto = np.zeros(1, np.int64)  # where each begins, and the last ends
+        self.words, self.parts = _Ids(), _Ids()
 
     def learn(self, new: list[str]) -> None:
-        lists = []
-        for start in range(0, len(new), 4096):
-            lists += [e.ids for e in self.tokenizer.encode_batch_fast(new[start : start + 4096], add_special_tokens=False)]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.upto = np.r_[self.upto, self.upto[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]
-        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, self.upto[-1] - len(self.flat))]
+        parted = pc.replace_substring_regex(pa.array(new, pa.large_string()), r"([\p{L}\p{N}])([!-/:-@\[-`{-~])", r"\1 \2")
+        parted = pc.if_else(pc.string_is_ascii(parted), pc.ascii_lower(parted), parted)
+        lists = pc.split_pattern(parted, " ")
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        if unknown := [p for p in parts if p not in self.parts.number]:
+            found = [e.ids for i in range(0, len(unknown), 4096) for e in self.tokenizer.encode_batch_fast(unknown[i : i + 4096], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.parts.add(unknown, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        ids, sizes = self.parts.get(parts, coded.indices.to_numpy())
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+        self.words.add(new, ids, np.diff(ends))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of each text."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
+        if len(self.words.number) > REMEMBERED:
+            self.words = _Ids()
+        if len(self.parts.number) > REMEMBERED:
+            self.parts = _Ids()
         for space in SPACES[1:]:
             if any(space in text for text in texts):
                 texts = [text.replace(space, " ") for text in texts]
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.number]:
+        if new := [w for w in words if w not in self.words.number]:
             self.learn(new)
-        known = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        place = known[coded.indices.to_numpy()]
-        starts, sizes = self.upto[place], self.upto[place + 1] - self.upto[place]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
+        ids, sizes = self.words.get(words, coded.indices.to_numpy())
+        return ids, np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
 
 
 _WORDS: dict[str, _Words] = {}
