@@ -26,7 +26,7 @@ from tessera.llm.common import materialize, new_folder, store, text_groups
 
 MAGIC = b"RANKVB01"
 BLOCK = 1 << 20  # ids after which a block ends with its document
-#: Words, and parts of words, that a worker remembers from earlier rows; when full it starts anew. Memory only, never the result.
+#: Parts of words that a worker remembers from earlier rows; when full it starts anew. Memory only, never the result.
 REMEMBERED = 900_000
 #: All white space that splits words for certain in any Unicode reading: what the tokenizer also drops and never joins over.
 SPACES = " \t\n\x0b\x0c\r"
@@ -95,45 +95,36 @@ class _Ids:
 
 class _Words:
     """Ids of white-space separated words by the tokenizers library. Its normaliser and splitter treat each such word by itself, so equal words
-    have equal ids wherever they stand. Between a letter or digit and ASCII punctuation the splitter parts too, so a new word is looked up in such parts,
-    in lower case if it is all ASCII; the library sees each distinct part once."""
+    have equal ids wherever they stand. Between a letter or digit and ASCII punctuation the splitter parts too, so texts are cut there as well,
+    parts that are all ASCII are looked up in lower case, and the library sees each distinct part once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.parts = _Ids(), _Ids()
+        self.parts = _Ids()
 
     def learn(self, new: list[str]) -> None:
-        parted = pc.replace_substring_regex(pa.array(new, pa.large_string()), r"([\p{L}\p{N}])([!-/:-@\[-`{-~])", r"\1 \2")
-        parted = pc.if_else(pc.string_is_ascii(parted), pc.ascii_lower(parted), parted)
-        lists = pc.split_pattern(parted, " ")
-        coded = lists.flatten().dictionary_encode()
-        parts = coded.dictionary.to_pylist()
-        if unknown := [p for p in parts if p not in self.parts.number]:
-            found = [e.ids for i in range(0, len(unknown), 4096) for e in self.tokenizer.encode_batch_fast(unknown[i : i + 4096], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.parts.add(unknown, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
-        ids, sizes = self.parts.get(parts, coded.indices.to_numpy())
-        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
-        self.words.add(new, ids, np.diff(ends))
+        found = [e.ids for i in range(0, len(new), 4096) for e in self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.parts.add(new, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of each text."""
-        if len(self.words.number) > REMEMBERED:
-            self.words = _Ids()
         if len(self.parts.number) > REMEMBERED:
             self.parts = _Ids()
         for space in SPACES[1:]:
             if any(space in text for text in texts):
                 texts = [text.replace(space, " ") for text in texts]
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        parted = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"([\p{L}\p{N}])([!-/:-@\[-`{-~])", r"\1 \2")
+        lists = pc.split_pattern(parted, " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.words.number]:
+        distinct = coded.dictionary
+        parts = pc.if_else(pc.string_is_ascii(distinct), pc.ascii_lower(distinct), distinct).to_pylist()
+        if new := [p for p in dict.fromkeys(parts) if p not in self.parts.number]:
             self.learn(new)
-        ids, sizes = self.words.get(words, coded.indices.to_numpy())
+        ids, sizes = self.parts.get(parts, coded.indices.to_numpy())
         return ids, np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
 
 
