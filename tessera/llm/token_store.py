@@ -10,6 +10,7 @@ null flags, the uint32 id counts, the control bytes and the data bytes. ``ranks.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -101,6 +102,7 @@ class _Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would crowd out other tasks
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.parts = _Ids()
