@@ -158,8 +158,18 @@ def export_by_hash(spark: SparkSession, sf: str) -> DataFrame:
         FROM {C} c WHERE domain_id % 50 = 3 GROUP BY domain_id""",
 )
 def candidates_json(spark: SparkSession, sf: str) -> DataFrame:
+    return all_candidates_json(spark, sf).filter("domain_id % 50 = 3")
+
+
+@query(
+    "A8_all_candidates_json",
+    f"""SELECT domain_id, cast(to_json(list({{'rank_position': rank_position, 'lei_code': lei_code, 'weighted_score': cast(weighted_score AS BIGINT)}} ORDER BY rank_position, lei_code, weighted_score)) AS VARCHAR) AS candidates
+        FROM {C} c GROUP BY domain_id""",
+)
+def all_candidates_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Every domain's candidates; a filter on the domain is pushed below the aggregate."""
     one = F.struct("rank_position", "lei_code", F.col("weighted_score").cast("long").alias("weighted_score"))
-    return CANDIDATES.read(spark, sf).filter("domain_id % 50 = 3").groupBy("domain_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("candidates"))
+    return CANDIDATES.read(spark, sf).groupBy("domain_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("candidates"))
 
 
 @query(
@@ -279,7 +289,12 @@ def nested_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A20_distinct_models", f"SELECT DISTINCT domain_id, legal_form FROM {C} c WHERE domain_id % 7 = 1")
 def distinct_models(spark: SparkSession, sf: str) -> DataFrame:
-    return CANDIDATES.read(spark, sf).filter("domain_id % 7 = 1").select("domain_id", "legal_form").distinct()
+    return all_distinct_models(spark, sf).filter("domain_id % 7 = 1")
+
+
+@query("A20_all_distinct_models", f"SELECT DISTINCT domain_id, legal_form FROM {C} c")
+def all_distinct_models(spark: SparkSession, sf: str) -> DataFrame:
+    return CANDIDATES.read(spark, sf).select("domain_id", "legal_form").distinct()
 
 
 COMPLETE = ["lei_code", "legal_name", "jurisdiction", "entity_status", "registration_status", "legal_form", "category", "city", "country"]

@@ -150,5 +150,14 @@ def dump_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("P8_json_object", f"SELECT id, cast(to_json({{'domain': domain, 'status': status, 'method': extraction_method, 'retries': retry_count}}) AS VARCHAR) AS document FROM {D} d WHERE batch_id = 'b1'")
 def json_object(spark: SparkSession, sf: str) -> DataFrame:
+    return json_objects(DOMAINS.read(spark, sf).filter("batch_id = 'b1'"))
+
+
+@query("P8_all_json_objects", f"SELECT id, cast(to_json({{'domain': domain, 'status': status, 'method': extraction_method, 'retries': retry_count}}) AS VARCHAR) AS document FROM {D} d")
+def all_json_objects(spark: SparkSession, sf: str) -> DataFrame:
+    return json_objects(DOMAINS.read(spark, sf))
+
+
+def json_objects(domains: DataFrame) -> DataFrame:
     record = F.struct("domain", "status", F.col("extraction_method").alias("method"), F.col("retry_count").alias("retries"))
-    return DOMAINS.read(spark, sf).filter("batch_id = 'b1'").select("id", F.to_json(record).alias("document"))
+    return domains.select("id", F.to_json(record).alias("document"))

@@ -232,7 +232,12 @@ def domain_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("X8_X9_stems", f"SELECT id, list_distinct(list_filter(list_concat([list_extract(string_split(domain, '.'), 1)], regexp_split_to_array(list_extract(string_split(domain, '.'), 1), '[-_0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({listed(names.STOP_STEMS)}))).list_sort() AS stems FROM {D} d WHERE id % 11 = 2")
 def stems(spark: SparkSession, sf: str) -> DataFrame:
-    return DOMAINS.read(spark, sf).filter("id % 11 = 2").select("id", F.array_sort(names.stems(F.col("domain"))).alias("stems"))
+    return all_stems(spark, sf).filter("id % 11 = 2")
+
+
+@query("X8_X9_all_stems", f"SELECT id, list_distinct(list_filter(list_concat([list_extract(string_split(domain, '.'), 1)], regexp_split_to_array(list_extract(string_split(domain, '.'), 1), '[-_0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({listed(names.STOP_STEMS)}))).list_sort() AS stems FROM {D} d")
+def all_stems(spark: SparkSession, sf: str) -> DataFrame:
+    return DOMAINS.read(spark, sf).select("id", F.array_sort(names.stems(F.col("domain"))).alias("stems"))
 
 
 @query("X10_company_of_domain", f"SELECT id, concat(upper(substr(regexp_replace(domain, '(\\.com?)?\\.[a-z]{{2,}}$', ''), 1, 1)), substr(regexp_replace(domain, '(\\.com?)?\\.[a-z]{{2,}}$', ''), 2)) AS company FROM {D} d")
