@@ -178,7 +178,9 @@ class Model:
             return at, at, at, at.astype(float)
         marks = pc.match_substring_regex(words.distinct, f"[{QUOTES}]").to_numpy(zero_copy_only=False)[words.place]
         reports = pc.is_in(bare, pa.array(REPORTING, bare.type)).to_numpy(zero_copy_only=False)[words.place]
-        near = lambda flags, i, j: np.cumsum(np.r_[0, flags])[np.clip(j, 0, len(flags))] - np.cumsum(np.r_[0, flags])[np.clip(i, 0, len(flags))]
+        owner = words.document_of[at]  # windows end with the hit's own text
+        first, last = np.searchsorted(words.document_of, owner), np.searchsorted(words.document_of, owner, "right")
+        near = lambda flags, i, j: np.cumsum(np.r_[0, flags])[np.minimum(j, last)] - np.cumsum(np.r_[0, flags])[np.maximum(i, first)]
         before, after = near(marks, at - WINDOW, at + 1) > 0, near(marks, at, at + WINDOW + 1) > 0
         told = near(reports, at - WINDOW, at + WINDOW + 1) > 0
         return at, matched[words.place[at], 0], matched[words.place[at], 1], 0.6 * (before & after) + 0.4 * told

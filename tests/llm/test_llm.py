@@ -263,6 +263,18 @@ def test_toxicity(spark, docs):
     assert automaton.match(pa.array(words)).tolist() == [[0, 0], [0, 1], [0, 1], [0, 1], [-1, -1], [-1, -1], [1, 0], [-1, -1], [2, 0], [-1, -1], [-1, -1]]
 
 
+def test_toxicity_alone():
+    """A text scores the same alone and between others, whose quotation marks and reporting words are not its own."""
+    rows = [(1, f"you idiot number{i} go away") for i in range(20)] + [(1, f'he said "you idiot number{i}" today') for i in range(5)] + [(0, f"a fine day number{i} it is") for i in range(20)]
+    model = toxicity.Model(rows)
+    texts = ["you idiot", "a fine day", "go away idiot", "", 'it "was" said']
+    between = [x for t in texts for x in ('he said "so"', t, '"it" said he')]
+    assert model.score(between)[1::3].tolist() == pytest.approx([model.score([t])[0] for t in texts], abs=1e-12)
+    quoted = lambda texts, i: dict(zip(*[x.tolist() for x in model.hits(toxicity.Words(texts))][::3], strict=True))[i]
+    assert quoted(['"no"', "idiot", '"yes" he said'], 1) == 0
+    assert quoted(['"idiot" he said'], 0) == 1
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
