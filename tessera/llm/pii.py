@@ -2,8 +2,8 @@
 
 Base spans follow fixed formats and always stay. Generators with high recall propose further spans, which may overlap; every candidate gets a few
 discrete format and context features. The counts of all feature combinations over the whole corpus (a bounded table) train boosted trees: candidates of the base
-formats teach, those that pass the formats' checks as positive and those that fail as negative. Thresholds for each kind are set where the precision on those
-counts holds; generated candidates above them that overlap no base span of their kind are added.
+formats teach, those that pass the formats' checks as positive and those that fail as negative; the check itself is no feature. Thresholds for each kind are set
+where the precision holds on documents that do not teach; generated candidates that pass their check, score above and overlap no base span of their kind are added.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Least precision of a score among the teaching candidates at or above it.
+#: Least precision of a score among the calibrating candidates at or above it, and the share of documents that calibrate (one in so many).
 PRECISION = 0.95
+CALIBRATE = 4
 TREES, DEPTH = 10, 3
 SPANS = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
 
@@ -94,15 +95,14 @@ def side(char: Column) -> Column:
 
 
 #: Names of the features of a candidate; each takes few values, so the combinations are at most some 20,000 for any corpus.
-FEATURES = ("kind", "valid", "digits", "parts", "before", "after", "cue", "plain")
+FEATURES = ("kind", "digits", "parts", "before", "after", "cue", "plain")
 
 
 def features(kind: str, x: Column) -> Column:
-    """A struct of small integers: the format check, its digits, its parts, its neighbours, an announcing word, and whether it repeats few digits."""
+    """Small integers, joined: the kind, its digits, its parts, its neighbours, an announcing word, and whether it repeats few digits."""
     only = digits(x["match"])
     values = (
         F.lit(KINDS.index(kind)),
-        F.when(passes(kind, x["match"]), 1).otherwise(0),
         F.least(F.length(only), F.lit(20)),
         F.least(F.size(F.split(x["match"], "[^0-9A-Za-z]+")), F.lit(6)),
         side(F.right(x["left"], F.lit(1))),
@@ -125,31 +125,41 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return raw.select("doc_id", described("base").alias("base"), described("loose").alias("loose"))
 
 
-def accepted(found: DataFrame, precision: float = PRECISION) -> list[str]:
-    """Feature combinations of generated candidates that boosted trees and the thresholds accept.
+def accepted(found: DataFrame, precision: float = PRECISION) -> dict[str, float]:
+    """Feature combinations of generated candidates that boosted trees and the thresholds accept, with their scores.
 
-    The trees see one row for each combination and label with its count over all documents as weight, so training reads a bounded table. For each kind the
-    threshold is the lowest score at or above which the teaching candidates are positive with the asked precision; a kind without
-    positive ones accepts nothing."""
+    The trees see one row for each combination and label with its count over the teaching documents as weight, so training reads a bounded table. For each kind the
+    threshold is the lowest score at or above which the candidates of the base formats in the other documents are positive with the asked precision; all documents
+    calibrate a kind that those lack. Where nothing fails a check all scores are 1; a kind without positive candidates accepts nothing."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    each = found.select(F.explode(F.concat(F.transform("base", lambda x: F.struct(x["features"].alias("features"), F.when(x["valid"], 1).otherwise(0).alias("label"))), F.transform("loose", lambda x: F.struct(x["features"].alias("features"), F.lit(-1).alias("label"))))).alias("x"))
-    counts = materialize(each.groupBy("x.features", "x.label").agg(F.count("*").cast("double").alias("weight")))
+    aside = (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0).alias("aside")
+    taught = F.transform("base", lambda x: F.struct(x["features"].alias("features"), F.when(x["valid"], 1).otherwise(0).alias("label")))
+    asked = F.transform(F.filter("loose", lambda x: x["valid"]), lambda x: F.struct(x["features"].alias("features"), F.lit(-1).alias("label")))
+    counts = materialize(found.select(aside, F.explode(F.concat(taught, asked)).alias("x")).groupBy("aside", "x.features", "x.label").agg(F.count("*").cast("double").alias("weight")))
     parts = F.split("features", ",")
-    table = counts.select("features", "label", "weight", *[parts[i].cast("double").alias(n) for i, n in enumerate(FEATURES)])
-    teaching = table.filter("label >= 0")
-    if table.filter("label = -1").isEmpty() or teaching.select("label").distinct().count() < 2:
-        return []
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(table)
-    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(table.filter("label >= 0").coalesce(1))
-    scored = materialize(model.transform(table.withColumn("label", F.col("label").cast("double"))).withColumn("score", F.round(vector_to_array("probability")[1], 9)).select("features", "kind", "label", "weight", "score"))
+    table = counts.select("aside", "features", "label", "weight", *[parts[i].cast("double").alias(n) for i, n in enumerate(FEATURES)])
+    labels = {(r["aside"], r["label"]) for r in table.select("aside", "label").distinct().collect()}
+    if not {-1, 1} <= {label for _, label in labels}:
+        return {}
+    if (False, 0) in labels and (False, 1) in labels:
+        teaching = table.filter("label >= 0 AND NOT aside")
+    else:
+        teaching = table.filter("label >= 0")
+    scored = table.withColumn("score", F.lit(1.0))
+    if 0 in {label for _, label in labels}:
+        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
+        model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(assembler.transform(teaching).coalesce(1))
+        scored = model.transform(assembler.transform(table.withColumn("label", F.col("label").cast("double")))).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+    scored = materialize(scored.select("aside", "features", "kind", "label", "weight", "score"))
+    held = scored.filter("label >= 0").withColumn("any_aside", F.max("aside").over(Window.partitionBy("kind"))).filter("aside OR NOT any_aside")
     above = Window.partitionBy("kind").orderBy(F.desc("score"))
     right = F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0.0)).over(above) / F.sum("weight").over(above)
-    limits = scored.filter("label >= 0").withColumn("right", right).filter(F.col("right") >= precision).groupBy("kind").agg(F.min("score").alias("least"))
-    chosen = scored.filter("label = -1").join(limits, "kind").filter("score >= least").select("features")
-    return sorted(r["features"] for r in chosen.collect())
+    limits = held.withColumn("right", right).filter(F.col("right") >= precision).groupBy("kind").agg(F.min("score").alias("least"))
+    chosen = scored.filter("label = -1").join(limits, "kind").filter("score >= least").select("features", "score").distinct()
+    return {r["features"]: r["score"] for r in chosen.collect()}
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
@@ -161,7 +171,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prec
     chosen = accepted(found, precision)
     base = F.filter("base", lambda x: x["valid"])
     clear = lambda x: ~F.exists("kept", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.filter("loose", lambda x: x["features"].isin(chosen) & clear(x)) if chosen else F.filter("loose", lambda x: F.lit(False))
+    more = F.filter("loose", lambda x: x["valid"] & x["features"].isin(sorted(chosen)) & clear(x)) if chosen else F.filter("loose", lambda x: F.lit(False))
     rows = found.select("doc_id", base.alias("kept"), "loose").withColumn("added", more)
     in_order = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
     named = lambda c: F.array_join(F.transform(in_order(c), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")

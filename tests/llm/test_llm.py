@@ -158,6 +158,28 @@ def test_pii(spark, docs, rows):
     assert got[500_008]["n_added"] > 0
 
 
+def luhn_number(rng, good=True):
+    head = [rng.randrange(10) for _ in range(15)]
+    last = next(c for c in range(10) if pii_fine("card", "".join(map(str, [*head, c]))))
+    return "".join(map(str, [*head, last if good else (last + 1) % 10]))
+
+
+def grouped(number, between):
+    return between.join(number[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_pii_context(spark):
+    """The same number is added after an announcing word and left alone where such numbers mostly fail the check."""
+    rng = random.Random(4)
+    texts = [f"my card {grouped(luhn_number(rng), ' ')} ok" for _ in range(200)] + [f"order {grouped(luhn_number(rng, False), ' ')} ok" for _ in range(200)]
+    texts += [f"my card {(one := grouped(luhn_number(rng), '.'))} ok", f"order {one} ok", f"my card {grouped(luhn_number(rng, False), '.')} ok"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_added"] for r in pii.detect(df).collect()}
+    assert [got[i] for i in (400, 401, 402)] == [1, 0, 0]
+    only = pii.detect(df.filter("doc_id < 200 OR doc_id = 400"))  # no candidate fails
+    assert {r["doc_id"] for r in only.filter("n_added > 0").collect()} == {400}
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ü?x=1 2", "<p>1</p>"), (2, None, "<p>1</p>"), (3, "http://b/", None), (4, "http://c/", ""), (5, "http://d", "long " * 50_000), (5, "http://d", "long " * 50_000), (6, "x", "\r\n\r\nContent-Length: 3\r\n")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
