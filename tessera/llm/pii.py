@@ -1,13 +1,14 @@
 """Personal data by candidate generation and gradient-boosted trees; DataFrame and SQL functions only.
 
 Base spans follow fixed formats and always stay. Generators with high recall propose further spans, which may overlap; every candidate gets a few
-discrete format and context features. The counts of all feature combinations over the whole corpus (a bounded table) train boosted trees: candidates of the base
+discrete format and context features; runs of digits inside base matches that fail are candidates too. The counts of all feature combinations over the whole corpus (a bounded table) train boosted trees: candidates of the base
 formats teach, those that pass the formats' checks as positive and those that fail as negative; the check itself is no feature. Thresholds for each kind are set
 where the precision holds on documents that do not teach; generated candidates that pass their check, score above and overlap no base span of their kind are added.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +41,18 @@ BASE = {
     "card": Format(r"[0-9](?:[\x20-]?[0-9])++", r"(?:[0-9][\x20-]?){16}"),
     "phone": Format(r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
+#: Up to six groups on one side of the gap of a compressed IPv6 address.
+SIX = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}"
 #: The generators.
 LOOSE = {
     "email": Format(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]++){1,8}", r"(?i)[(\[{]at[)\]}]"),
-    "ip": Format(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"(?:[0-9A-Fa-f]{1,4}:){7}"),
+    "ip": Format(rf"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z:.])(?:{SIX})?::(?:{SIX})?(?![0-9A-Za-z:])", r"(?:[0-9A-Fa-f]{1,4}:){7}|::"),
     "card": Format(r"(?<![0-9])[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}[./_][0-9]{4}(?![0-9])", r"[0-9]{4}[./_][0-9]{4}[./_]"),
     "phone": Format(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|00[0-9]{1,3}[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
 }
+#: Generators inside base matches that fail: runs of so many digits that begin and end where groups of digits do. Each matches the first digit and looks at the rest.
+CARD_RUNS = {n: Format(rf"(?<![0-9])[0-9](?=(?:[\x20-]?[0-9]){{{n - 1}}}(?![0-9]))", "[0-9]") for n in range(16, 20)}
+PHONE_RUNS = [rf"^\+[0-9](?:[\x20().-]*[0-9]){{{n - 1}}}(?![0-9])" for n in range(8, 16)]
 #: Words that announce a kind, in the text just before.
 CUES = {"email": r"(?i)mail|contact", "ip": r"(?i)\bip\b|host|addr", "card": r"(?i)card|visa|carte|karte|tarjeta", "phone": r"(?i)tel|phone|call|fax|mobil"}
 CUE_CHARS = 24
@@ -69,6 +75,30 @@ def spans(text: Column, fmt: Format) -> Column:
     return F.when(text.rlike(fmt.first), walked).otherwise(empty)
 
 
+def part(x: Column, at: Column, match: Column) -> Column:
+    """The span of a match that begins ``at`` characters into the span x."""
+    start, end = x["start"] + at, x["start"] + at + F.length(match)
+    right = F.substring(F.concat(x["match"], x["right"]), at + F.length(match) + 1, F.lit(1))
+    left = F.right(F.concat(x["left"], F.left(x["match"], at)), F.lit(CUE_CHARS))
+    return F.struct(start.alias("start"), end.alias("end"), match.alias("match"), left.alias("left"), right.alias("right"))
+
+
+def inner_cards(x: Column) -> Column:
+    """Runs of 16 to 19 digits in a base match, at the borders of its groups, that pass the check; they may overlap."""
+
+    def runs(n: int) -> Column:
+        whole = rf"^[0-9](?:[\x20-]?[0-9]){{{n - 1}}}"
+        found = F.transform(spans(x["match"], CARD_RUNS[n]), lambda y: part(x, y["start"], F.regexp_extract(F.substring(x["match"], y["start"] + 1, F.lit(2 * n)), whole, 0)))
+        return F.filter(found, lambda y: passes("card", y["match"]))
+
+    return F.concat(*[runs(n) for n in CARD_RUNS])
+
+
+def inner_phones(x: Column) -> Column:
+    """Beginnings of a base match of 8 to 15 digits, cut at the borders of its groups."""
+    return F.filter(F.transform(F.array(*[F.regexp_extract(x["match"], p, 0) for p in PHONE_RUNS]), lambda m: part(x, F.lit(0), m)), lambda y: y["match"] != "")
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -82,7 +112,8 @@ def small_number(digits_only: Column) -> Column:
 def passes(kind: str, match: Column) -> Column:
     """The check of a format on one match."""
     if kind == "ip":
-        return F.forall(F.split(match, r"[.:]"), small_number) & (F.size(F.split(match, r"\.")) == 4) | match.contains(":")
+        groups = F.size(F.filter(F.split(match, ":"), lambda x: x != ""))
+        return F.forall(F.split(match, r"[.:]"), small_number) & (F.size(F.split(match, r"\.")) == 4) | match.contains(":") & F.when(match.contains("::"), groups.between(1, 7)).otherwise(groups == 8)
     if kind == "card":
         return F.length(digits(match)).between(16, 19) & F.call_function("luhn_check", digits(match))
     if kind == "phone":
@@ -118,6 +149,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     raw = rows.select("doc_id", *[spans(F.col("text"), f).alias(f"{name}_{k}") for name, formats in (("base", BASE), ("loose", LOOSE)) for k, f in formats.items()])
 
+    def failing(k: str, least: int) -> Column:
+        return F.filter(f"base_{k}", lambda x: (F.length(x["match"]) > least) & ~passes(k, x["match"]))
+
+    inner = {"card": F.flatten(F.transform(failing("card", 16), inner_cards)), "phone": F.flatten(F.transform(failing("phone", 8), inner_phones))}
+    raw = raw.withColumns({f"loose_{k}": F.concat(f"loose_{k}", c) for k, c in inner.items()})
+
     def described(name: str) -> Column:
         one = lambda k: lambda x: F.struct(F.lit(KINDS.index(k)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), passes(k, x["match"]).alias("valid"), features(k, x).alias("features"))
         return F.concat(*[F.transform(f"{name}_{k}", one(k)) for k in KINDS])
@@ -172,7 +209,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prec
     base = F.filter("base", lambda x: x["valid"])
     clear = lambda x: ~F.exists("kept", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
     more = F.filter("loose", lambda x: x["valid"] & x["features"].isin(sorted(chosen)) & clear(x)) if chosen else F.filter("loose", lambda x: F.lit(False))
-    rows = found.select("doc_id", base.alias("kept"), "loose").withColumn("added", more)
+    scores = F.from_json(F.lit(json.dumps(chosen)), "map<string,double>")
+    # of spans that begin at one place the best score stays, then the longest; others may overlap
+    rank = lambda x: F.struct(F.element_at(scores, x["features"]), x["end"])
+    best = F.filter("more", lambda x: ~F.exists("more", lambda y: (y["kind"] == x["kind"]) & (y["start"] == x["start"]) & (rank(y) > rank(x))))
+    rows = found.select("doc_id", base.alias("kept"), "loose").withColumn("more", more).withColumn("added", F.array_distinct(best))
     in_order = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
     named = lambda c: F.array_join(F.transform(in_order(c), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda i: F.size(F.filter("kept", lambda x: x["kind"] == i)).cast("long")

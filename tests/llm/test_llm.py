@@ -180,6 +180,22 @@ def test_pii_context(spark):
     assert {r["doc_id"] for r in only.filter("n_added > 0").collect()} == {400}
 
 
+def test_pii_inside(spark):
+    """Numbers that a failing base match swallows, and compressed IPv6."""
+    a, b = "7536784127813050", "4550997810720808"
+    assert pii_fine("card", a) and pii_fine("card", b)
+    rng = random.Random(6)
+    taught = [f"my card {luhn_number(rng)} ok" for _ in range(80)] + ["call +1 212 555 7713 ok", "host 10.0.0.1 ok"] * 20
+    odd = [f"my card {a} {b} ok", f"card 12 34 {grouped(a, '-')} ok", "ip 2001:db8::1 and ip ::1 but std::vector 1:2:3:4:5:6::7:8:9 :: x", "call +1 212 555 7713 12345 67890 ok"]
+    df = spark.createDataFrame(list(enumerate(odd + taught)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.detect(df).collect()}
+    spot = lambda i, kind, match: f"{kind}:{(at := odd[i].index(match))}:{at + len(match)}"
+    assert {spot(0, "card", a), spot(0, "card", b)} <= set(got[0])
+    assert spot(1, "card", grouped(a, "-")) in got[1]
+    assert got[2] == [spot(2, "ip", "2001:db8::1"), f"ip:{(at := odd[2].index(' ::1') + 1)}:{at + 3}"]
+    assert spot(3, "phone", "+1 212 555 7713") in got[3]
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ü?x=1 2", "<p>1</p>"), (2, None, "<p>1</p>"), (3, "http://b/", None), (4, "http://c/", ""), (5, "http://d", "long " * 50_000), (5, "http://d", "long " * 50_000), (6, "x", "\r\n\r\nContent-Length: 3\r\n")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
