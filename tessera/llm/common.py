@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,12 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def one_a_task(files: DataFrame, name: str) -> DataFrame:
+    """Rows of a materialised table that each name a file, dealt to as many tasks by ranges of names. The number is given, so Spark does not
+    pack the few small rows, behind which large files lie, into one task."""
+    return files.repartitionByRange(max(1, files.count()), name)
+
+
 def text_groups(column: pa.Array, most: int = 1 << 22) -> Iterator[list[str]]:
     """The texts of an Arrow column in order, in groups of about so many characters, so that working memory follows
     neither the batch nor the text column as a whole; a null is empty."""
@@ -74,3 +81,55 @@ def text_groups(column: pa.Array, most: int = 1 << 22) -> Iterator[list[str]]:
             group, size = [], 0
     if group:
         yield group
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """The array, grown by half at least if it is shorter than size."""
+    return held if len(held) >= size else np.r_[held, np.zeros(max(size - len(held), len(held) // 2), held.dtype)]
+
+
+class IdLists:
+    """Lists of token ids by string: a number for each string, and all ids end to end."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat = np.empty(0, np.uint32)
+        self.upto = np.zeros(1, np.int64)  # where each begins, and the last ends
+
+    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, used = len(self.number), int(self.upto[len(self.number)])
+        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        self.upto = _room(self.upto, len(self.number) + 1)
+        self.flat = _room(self.flat, used + len(ids))
+        self.upto[first + 1 : first + 1 + len(new)] = used + np.cumsum(sizes)
+        self.flat[used : used + len(ids)] = ids
+
+    def places(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings numbered at, end to end, and the number of each."""
+        starts, sizes = self.upto[at], self.upto[at + 1] - self.upto[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
+
+class Remembered(IdLists):
+    """Lists that a worker remembers from earlier rows. Beyond a number of them they become the old ones, from which those that are met again
+    return; the old ones before go. Memory only, never the result."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, IdLists()
+
+    def absent(self, strings: list[str]) -> list[str]:
+        """Those of distinct strings that must be learnt."""
+        if len(self.number) > self.most:
+            self.old = IdLists()
+            self.old.number, self.old.flat, self.old.upto = self.number, self.flat, self.upto
+            super().__init__()
+        new = [s for s in strings if s not in self.number]
+        if back := [s for s in new if s in self.old.number]:
+            self.add(back, *self.old.get(self.old.places(back)))
+            new = [s for s in new if s not in self.old.number]
+        return new

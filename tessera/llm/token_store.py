@@ -11,6 +11,7 @@ null flags, the uint32 id counts, the control bytes and the data bytes. ``ranks.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,12 +24,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, new_folder, store, text_groups
+from tessera.llm.common import Remembered, materialize, new_folder, one_a_task, store, text_groups
 
 MAGIC = b"RANKVB01"
 BLOCK = 1 << 20  # ids after which a block ends with its document
-#: Parts of words that a worker remembers from earlier rows; when full it starts anew. Memory only, never the result.
-REMEMBERED = 900_000
+SHARD = 1 << 26  # ids of a shard, about
+#: Parts of words that a worker remembers from earlier rows, and as many old ones.
+REMEMBERED = 300_000
 #: All white space that splits words for certain in any Unicode reading: what the tokenizer also drops and never joins over.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -73,66 +75,80 @@ def flat_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind), (ends[1:] - ends[0]) // size
 
 
-class _Ids:
-    """Lists of ids by string: a number for each string, and all ids end to end."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.flat = np.empty(0, np.uint32)
-        self.upto = np.zeros(1, np.int64)  # where each begins, and the last ends
-
-    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.upto = np.r_[self.upto, self.upto[-1] + np.cumsum(sizes)]
-        self.flat = np.r_[self.flat, ids]
-
-    def get(self, strings: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of strings[place] end to end, and the number of each."""
-        at = np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))[place]
-        starts, sizes = self.upto[at], self.upto[at + 1] - self.upto[at]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+#: Letters and digits after which a text may be cut before ASCII punctuation: normalised and lower-cased, each still ends with a letter or digit.
+CUT_AFTER = r"A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}\x{4E00}-\x{9FFF}"
+#: Words that the library gets at once.
+TOGETHER = 1024
 
 
 class _Words:
-    """Ids of white-space separated words by the tokenizers library. Its normaliser and splitter treat each such word by itself, so equal words
-    have equal ids wherever they stand. Between a letter or digit and ASCII punctuation the splitter parts too, so texts are cut there as well,
-    parts that are all ASCII are looked up in lower case, and the library sees each distinct part once."""
+    """Ids of white-space separated words by the tokenizers library. The file's normaliser and splitter treat each such word by itself, so equal words
+    have equal ids wherever they stand. Between most letters or digits and ASCII punctuation the splitter parts too, so texts are cut there as well (but for
+    texts that hold a special token, which would fall apart); parts that are all ASCII are looked up in lower case, and the library sees each
+    distinct part once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would crowd out other tasks
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.parts = _Ids()
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = "|".join(re.escape(t) for t in sorted(added)) or r"[^\s\S]"
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.parts = Remembered(REMEMBERED)
+
+    def _call(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        found = [e.ids for i in range(0, len(new), 4096) for e in self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.parts.add(new, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        """Words of letters alone go to the library as one text and are told apart by the ids that end a word: each has at least one such id, so as
+        many of them as words means one for each. All other words go one by one."""
+        plain, rest = [], []
+        for part in new:
+            (plain if part.isalpha() else rest).append(part)
+        for i in range(0, len(plain), TOGETHER):
+            some = plain[i : i + TOGETHER]
+            ids = np.array(self._call([" ".join(some)])[0], np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                self.parts.add(some, ids, np.diff(np.r_[0, ends]))
+            else:
+                rest += some
+        for i in range(0, len(rest), 4096):
+            found = self._call(rest[i : i + 4096])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.parts.add(rest[i : i + 4096], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of each text."""
-        if len(self.parts.number) > REMEMBERED:
-            self.parts = _Ids()
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, self.special)
+        parted = pc.if_else(whole, column, pc.replace_substring_regex(column, rf"([{CUT_AFTER}])([!-/:-@\[-`{{-~])", r"\1 \2"))
         for space in SPACES[1:]:
-            if any(space in text for text in texts):
-                texts = [text.replace(space, " ") for text in texts]
-        parted = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"([\p{L}\p{N}])([!-/:-@\[-`{-~])", r"\1 \2")
+            parted = pc.replace_substring(parted, space, " ")
         lists = pc.split_pattern(parted, " ")
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary
-        parts = pc.if_else(pc.string_is_ascii(distinct), pc.ascii_lower(distinct), distinct).to_pylist()
-        if new := [p for p in dict.fromkeys(parts) if p not in self.parts.number]:
-            self.learn(new)
-        ids, sizes = self.parts.get(parts, coded.indices.to_numpy())
+        lower = pc.ascii_lower(distinct)
+        fold = pc.and_not(pc.string_is_ascii(distinct), pc.match_substring_regex(lower, self.special))
+        parts = pc.if_else(fold, lower, distinct).to_numpy(zero_copy_only=False).tolist()
+        self.learn(self.parts.absent(list(dict.fromkeys(parts))))
+        ids, sizes = self.parts.get(self.parts.places(parts)[coded.indices.to_numpy()])
         return ids, np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
 
 
 _WORDS: dict[str, _Words] = {}
 
 
+def _forget() -> None:
+    """Let go of what a reused worker remembers of words: the steps after encoding need the memory."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def id_kind(tokenizer: str, end_id: int) -> str:
     """The narrowest numpy type for the ids between the steps: two bytes where the vocabulary allows."""
     from tokenizers import Tokenizer
@@ -170,6 +186,7 @@ def id_counts(encoded: DataFrame, kind: str = "<u4") -> DataFrame:
     """``id, n`` over all rows; each task sends a row for each id it met."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
             got = np.bincount(flat_ids(batch.column(0), kind)[0])
@@ -190,14 +207,16 @@ def _block(doc_ids: list[int | None], counts: np.ndarray, values: np.ndarray) ->
     return b"".join([header, known, nulls, counts.astype("<u4").tobytes(), control, data])
 
 
-def write_store(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4", id_col: str = "doc_id") -> DataFrame:
+def write_store(encoded: DataFrame, folder: str, shards: int | None = None, kind: str = "<u4", id_col: str = "doc_id") -> DataFrame:
     """Write the files and return their manifest: ``shard, path, documents, tokens, start``.
 
-    Shards hold ranges of ascending ids (nulls first) of integral type. A task writes its file under a name of its own and then moves it to the
+    Shards hold ranges of ascending ids (nulls first) of integral type, rows that repeat an id in any order, so that they too may spread over shards. Their number
+    follows the tokens. A task writes its file under a name of its own and then moves it to the
     shard's name, so a task that runs again leaves one whole file. The rank table has a row for each id of the vocabulary."""
     spark = encoded.sparkSession
-    order = [r["id"] for r in id_counts(encoded, kind).orderBy(F.desc("n"), "id").select("id").collect()]  # at most the vocabulary
-    by_rank = np.array(order, np.uint32)
+    counted = id_counts(encoded, kind).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
+    by_rank = np.array([r["id"] for r in counted], np.uint32)
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["n"] for r in counted) // SHARD + 1)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     table = spark.sparkContext.broadcast(rank_of)
@@ -209,6 +228,7 @@ def write_store(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4",
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _forget()
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
         path = f"{root}/shard-{task.partitionId():06d}.bin"
@@ -228,8 +248,9 @@ def write_store(encoded: DataFrame, folder: str, shards: int, kind: str = "<u4",
         fs.move(own, path)
         yield pa.record_batch([pa.array([task.partitionId()], pa.int32()), pa.array([f"shard-{task.partitionId():06d}.bin"]), pa.array([documents], pa.int64()), pa.array([tokens], pa.int64())], ["shard", "path", "documents", "tokens"])
 
-    ranged = encoded.select(F.col(id_col).cast("long").alias("doc_id"), "ids").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    manifest = materialize(ranged.mapInArrow(write, "shard int, path string, documents long, tokens long"))
+    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), "ids", F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    manifest = materialize(ranged.select("doc_id", "ids").mapInArrow(write, "shard int, path string, documents long, tokens long"))
     # a row for each shard: the running sum sees no documents
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -251,6 +272,7 @@ def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files in file order; one task a shard."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         fs, root = pafs.FileSystem.from_uri(folder)
         with fs.open_input_stream(f"{root}/ranks.bin") as file:
             by_rank = np.frombuffer(file.read(), "<u4")
@@ -264,8 +286,7 @@ def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
                         yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += int(ends[-1]) if len(ends) else 0
 
-    files = manifest.select("path", "start").repartition(F.col("path"))
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return one_a_task(manifest.select("path", "start"), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
@@ -275,5 +296,4 @@ def token_store(docs: DataFrame, tokenizer: str, end_id: int, shards: int | None
     kind = id_kind(tokenizer, end_id)
     encoded = store(encode(docs, tokenizer, end_id, kind), "ids")
     folder = new_folder(spark, "tokens")
-    manifest = materialize(write_store(encoded, folder, shards or int(spark.conf.get("spark.sql.shuffle.partitions")), kind))
-    return read_store(spark, folder, manifest)
+    return read_store(spark, folder, materialize(write_store(encoded, folder, shards, kind)))
