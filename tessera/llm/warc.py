@@ -11,18 +11,18 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, materialize, new_folder
+from tessera.llm.common import broadcast_if_small, materialize, new_folder, one_a_task
 
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time; reruns write the same bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-URN = "<urn:x-page:%s>"
+NO_PAGE = "<urn:x-page>"
 PIECE = 1 << 20
 #: Up to so many payloads that occur more than once (about 60 bytes each) are broadcast.
 REPEATED = 200_000
@@ -32,14 +32,24 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(page_id: object) -> str:
+    """A record's name. Ids are percent-encoded, so blanks, line ends or brackets in one neither break a header nor the index; a null id has a
+    name of its own."""
+    return NO_PAGE if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str) -> str | None:
+    return None if name in ("", NO_PAGE) else unquote(name[12:-1])
+
+
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object = None) -> bytes:
     """One uncompressed WARC record: a response, or a revisit if it refers to another page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", "WARC-Record-ID: " + URN % ("" if page_id is None else page_id), f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", "WARC-Record-ID: " + urn(page_id), f"WARC-Date: {DATE}"]
     head.append("WARC-Target-URI: " + quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%-._~"))
     if refers_to is not None:
-        head += ["WARC-Refers-To: " + URN % refers_to, f"WARC-Profile: {PROFILE}"]
+        head += ["WARC-Refers-To: " + urn(refers_to), f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -153,7 +163,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 fs.move(f"{root}/{index}.{attempt}", f"{root}/{index}")
                 yield pa.record_batch([pa.array([path]), pa.array([index]), pa.array([count], pa.int64())], ["path", "index", "records"])
 
-    return archives.repartition(F.col("path")).mapInArrow(run, "path string, index string, records long")
+    return one_a_task(archives, "path").mapInArrow(run, "path string, index string, records long")
 
 
 def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
@@ -177,14 +187,14 @@ def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint") ->
                         digest = headers["warc-payload-digest"].removeprefix("sha1:")
                         if kind == "response" and (size != len(payload) or payload_digest(payload) != digest):
                             raise ValueError(f"a damaged payload in {path} at {at}")
-                        rows.append((record_id[12:-1] or None, headers["warc-target-uri"], size, digest, kind, headers.get("warc-refers-to", "")[12:-1] or None))
+                        rows.append((page_of(record_id), headers["warc-target-uri"], size, digest, kind, page_of(headers.get("warc-refers-to", ""))))
                         if len(rows) == 4096:
                             yield pa.record_batch([pa.array(c, pa.int64() if i == 2 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names)
                             rows = []
                 if rows:
                     yield pa.record_batch([pa.array(c, pa.int64() if i == 2 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names)
 
-    found = archives.select("path", "index").repartition(F.col("path")).mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    found = one_a_task(archives.select("path", "index"), "path").mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return found.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
