@@ -11,15 +11,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers from earlier rows; when full it starts anew. Memory only, never the result.
-REMEMBERED = 400_000
+from tessera.llm.common import Remembered, text_groups
+
+#: Pieces that a worker remembers from earlier rows, and as many old ones.
+REMEMBERED = 250_000
 #: Bytes of new pieces that are merged at once.
 CHUNK = 1 << 22
 
@@ -152,10 +156,13 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.table = PairTable(self.ranks)
-        self.known: dict[str, tuple[str, bytes, int]] = {}
+        ids = range(max(self.tokens, default=-1) + 1)
+        self.bytes_of = pa.array([self.tokens.get(i, b"") for i in ids], pa.large_binary())
+        self.digits_of = pa.array([b"%d," % i for i in ids], pa.large_binary())
+        self.known = Remembered(REMEMBERED)
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece. Pieces are independent; equal lowest ranks merge from the left."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces end to end, and the number of each. Pieces are independent; equal lowest ranks merge from the left."""
         sizes = np.array([len(p) for p in pieces], np.int64)
         ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(ids)
@@ -202,8 +209,7 @@ class Codec:
             pair[touched] = found = self.table.find(ids[touched], ids[right])
             queue.push(found[found >= 0], touched[found >= 0])
         at = np.flatnonzero(alive[:n])
-        flat, cuts = ids[at].tolist(), np.searchsorted(at, ends).tolist()
-        return [flat[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+        return ids[at], np.diff(np.r_[0, np.searchsorted(at, ends)])
 
     def _learn(self, pieces: list[str]) -> None:
         while pieces:
@@ -211,33 +217,26 @@ class Codec:
             while count < len(pieces) and (size < CHUNK or not count):
                 size += len(pieces[count])
                 count += 1
-            for piece, ids in zip(pieces[:count], self.merge([p.encode() for p in pieces[:count]]), strict=True):
-                self.known[piece] = ",".join(map(str, ids)), b"".join(map(self.tokens.__getitem__, ids)), len(ids)
+            self.known.add(pieces[:count], *self.merge([p.encode() for p in pieces[:count]]))
             pieces = pieces[count:]
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, bytes, int]]]:
-        """For each text, its pieces as (ids, their bytes again, number of ids)."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        pieces = [self.pattern.findall(text) for text in texts]
-        new = list({p for each in pieces for p in each if p not in self.known})
-        if new:
-            self._learn(new)
-        for each in pieces:
-            yield [self.known[p] for p in each]
-
-
-def batched(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[list[str]]:
-    """The texts of a batch in groups of about so many characters; a null is empty."""
-    group, size = [], 0
-    for text in batch.column(batch.num_columns - 1).to_pylist():
-        group.append(text or "")
-        size += len(group[-1])
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts end to end, and the number of each."""
+        found = [self.pattern.findall(text) for text in texts]
+        pieces = list(chain.from_iterable(found))
+        self._learn(self.known.absent(list(dict.fromkeys(pieces))))
+        ids, sizes = self.known.get(self.known.places(pieces))
+        upto = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]]
+        return ids, np.diff(upto)
+
+
+def written(ids: np.ndarray, counts: np.ndarray, strings: pa.Array) -> Iterator[memoryview]:
+    """For each document, whose ids lie end to end, the strings of its ids one after another."""
+    taken = strings.take(pa.array(ids))
+    upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1][np.r_[0, np.cumsum(counts)]].tolist()
+    raw = memoryview(taken.buffers()[2] or b"")
+    for start, end in zip(upto, upto[1:], strict=False):
+        yield raw[start:end]
 
 
 _CODECS: dict[int, Codec] = {}
@@ -265,9 +264,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         codec = _codec(shared)
         for batch in batches:
             done = 0
-            for group in batched(batch):
-                ids = [[int(x) for part in parts for x in part[0].split(",")] for parts in codec.encode(group)]
-                yield pa.record_batch([batch.column(0).slice(done, len(group)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for group in text_groups(batch.column(1)):
+                ids, counts = codec.encode(group)
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(ids.astype(np.int32)))
+                yield pa.record_batch([batch.column(0).slice(done, len(group)), lists], ["doc_id", "ids"])
                 done += len(group)
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -279,9 +279,10 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     shared = _vocabulary(encoded, path, r"\X")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _codec(shared).tokens
+        strings = _codec(shared).bytes_of
         for batch in batches:
-            out = [b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
+            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            out = [bytes(x) for x in written(batch.column(1).flatten().to_numpy(), counts, strings)]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -289,20 +290,20 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the encoder's ids and of the bytes decoded from them, in one
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the encoder's ids and of the bytes decoded from each document's ids, in one
     pass: texts, ids and bytes never leave the task. Null text counts as empty; every row gives a row."""
     shared = _vocabulary(docs, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for group in batched(batch):
-                for parts in codec.encode(group):
-                    counts.append(sum(p[2] for p in parts))
-                    ids.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            done = 0
+            for group in text_groups(batch.column(1)):
+                ids, counts = codec.encode(group)
+                listed = [hashlib.sha256(x[:-1]).hexdigest() for x in written(ids, counts, codec.digits_of)]  # without the last comma
+                decoded = [hashlib.sha256(x).hexdigest() for x in written(ids, counts, codec.bytes_of)]
+                yield pa.record_batch([batch.column(0).slice(done, len(group)), pa.array(counts), pa.array(listed), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                done += len(group)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

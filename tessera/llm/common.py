@@ -63,6 +63,16 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it new to the table."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def one_a_task(files: DataFrame, name: str) -> DataFrame:
     """Rows of a materialised table that each name a file, dealt to as many tasks by ranges of names. The number is given, so Spark does not
     pack the few small rows, behind which large files lie, into one task."""
