@@ -113,10 +113,11 @@ CASES_SQL = """CASE WHEN level2_status = 'success' THEN 'GLEIF Verified' WHEN le
   CASE WHEN status = 'failed' THEN 'Retry with Level 2' WHEN confidence_score < 70 THEN 'GLEIF Enhancement' ELSE 'Ready for Analysis' END AS recommendation"""
 
 
-def candidate_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Per domain: how many candidates, and their distinct values joined. Aggregated before the join, so domains never multiply."""
+def candidate_lists(spark: SparkSession, sf: str, domains: DataFrame) -> DataFrame:
+    """Per given domain: how many candidates, and their distinct values joined. Others' candidates go before the aggregate, which comes before the join, so domains never multiply."""
     fields = {"all_lei_codes": "lei_code", "all_legal_names": "legal_name", "all_jurisdictions": "jurisdiction", "all_entity_statuses": "entity_status"}
-    return CANDIDATES.read(spark, sf).groupBy("domain_id").agg(F.count("*").alias("n"), *[joined_distinct(F.col(c)).alias(n) for n, c in fields.items()])
+    asked = CANDIDATES.read(spark, sf).join(domains.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")
+    return asked.groupBy("domain_id").agg(F.count("*").alias("n"), *[joined_distinct(F.col(c)).alias(n) for n, c in fields.items()])
 
 
 LISTS_SQL = ", ".join(f"coalesce(string_agg(DISTINCT c.{c}, '; ' ORDER BY c.{c}), '') AS {n}" for n, c in {"all_lei_codes": "lei_code", "all_legal_names": "legal_name", "all_jurisdictions": "jurisdiction", "all_entity_statuses": "entity_status"}.items())
@@ -130,7 +131,7 @@ LISTS_SQL = ", ".join(f"coalesce(string_agg(DISTINCT c.{c}, '; ' ORDER BY c.{c})
 def export_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     """The batch export with its derived labels and its candidates in lists."""
     domains = DOMAINS.read(spark, sf).filter("batch_id = 'b3'")
-    joined = domains.join(candidate_lists(spark, sf), F.col("id") == F.col("domain_id"), "left")
+    joined = domains.join(candidate_lists(spark, sf, domains), F.col("id") == F.col("domain_id"), "left")
     lists = [F.coalesce(n, F.lit("")).alias(n) for n in ("all_lei_codes", "all_legal_names", "all_jurisdictions", "all_entity_statuses")]
     return joined.select("id", "domain", "company_name", "extraction_method", "confidence_score", "status", *labels(), F.col("primary_lei_code").alias("lei_code"), F.coalesce("n", F.lit(0)).alias("gleif_candidate_count"), *lists).orderBy("id")
 
@@ -154,19 +155,10 @@ def export_by_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "A8_candidates_json",
-    f"""SELECT domain_id, cast(to_json(list({{'rank_position': rank_position, 'lei_code': lei_code, 'weighted_score': cast(weighted_score AS BIGINT)}} ORDER BY rank_position, lei_code, weighted_score)) AS VARCHAR) AS candidates
-        FROM {C} c WHERE domain_id % 50 = 3 GROUP BY domain_id""",
-)
-def candidates_json(spark: SparkSession, sf: str) -> DataFrame:
-    return all_candidates_json(spark, sf).filter("domain_id % 50 = 3")
-
-
-@query(
-    "A8_all_candidates_json",
     f"""SELECT domain_id, cast(to_json(list({{'rank_position': rank_position, 'lei_code': lei_code, 'weighted_score': cast(weighted_score AS BIGINT)}} ORDER BY rank_position, lei_code, weighted_score)) AS VARCHAR) AS candidates
         FROM {C} c GROUP BY domain_id""",
 )
-def all_candidates_json(spark: SparkSession, sf: str) -> DataFrame:
+def candidates_json(spark: SparkSession, sf: str) -> DataFrame:
     """Every domain's candidates; a filter on the domain is pushed below the aggregate."""
     one = F.struct("rank_position", "lei_code", F.col("weighted_score").cast("long").alias("weighted_score"))
     return CANDIDATES.read(spark, sf).groupBy("domain_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("candidates"))
@@ -236,7 +228,7 @@ def duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def cross_batch(spark: SparkSession, sf: str) -> DataFrame:
     domains = DOMAINS.read(spark, sf)
     names = F.array_sort(F.collect_set("company_name"))
-    per = domains.groupBy("domain").agg(F.size(F.collect_set("batch_id")).cast("long").alias("batch_appearances"), F.count("*").alias("attempts"), F.max("confidence_score").alias("best"), F.min("confidence_score").alias("worst"), F.size(names).cast("long").alias("name_variations"), F.nullif(F.array_join(names, " | "), F.lit("")).alias("all_names"), F.bool_or(F.col("status") == "success").alias("ever_successful"))
+    per = domains.groupBy("domain").agg(F.count_distinct("batch_id").alias("batch_appearances"), F.count("*").alias("attempts"), F.max("confidence_score").alias("best"), F.min("confidence_score").alias("worst"), F.size(names).cast("long").alias("name_variations"), F.nullif(F.array_join(names, " | "), F.lit("")).alias("all_names"), F.bool_or(F.col("status") == "success").alias("ever_successful"))
     top = per.filter("batch_appearances > 1").orderBy(F.desc_nulls_last("best"), "domain").limit(20)  # before the join: twenty rows meet the candidates
     leis = domains.select("id", "domain").join(F.broadcast(top.select("domain")), "domain").join(CANDIDATES.read(spark, sf).select(F.col("domain_id").alias("id"), "lei_code"), "id").groupBy("domain").agg(F.count_distinct("lei_code").alias("leis"))
     return top.join(leis, "domain", "left").withColumn("unique_lei_codes", F.coalesce("leis", F.lit(0))).drop("leis")
@@ -248,7 +240,7 @@ def cross_batch(spark: SparkSession, sf: str) -> DataFrame:
 )
 def domain_history(spark: SparkSession, sf: str) -> DataFrame:
     order = F.when(F.col("company_name").isNotNull(), F.struct(F.coalesce("confidence_score", F.lit(0.0)), "created_at", "id"))
-    return DOMAINS.read(spark, sf).groupBy("domain").agg(F.count("*").alias("attempts"), F.size(F.collect_set("batch_id")).cast("long").alias("batches"), F.max_by("company_name", order).alias("best_name"), F.max("confidence_score").alias("best_score"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+    return DOMAINS.read(spark, sf).groupBy("domain").agg(F.count("*").alias("attempts"), F.count_distinct("batch_id").alias("batches"), F.max_by("company_name", order).alias("best_name"), F.max("confidence_score").alias("best_score"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
 
 
 @query(
@@ -287,13 +279,8 @@ def nested_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("batch_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event", "n")))).alias("events"))
 
 
-@query("A20_distinct_models", f"SELECT DISTINCT domain_id, legal_form FROM {C} c WHERE domain_id % 7 = 1")
+@query("A20_distinct_models", f"SELECT DISTINCT domain_id, legal_form FROM {C} c")
 def distinct_models(spark: SparkSession, sf: str) -> DataFrame:
-    return all_distinct_models(spark, sf).filter("domain_id % 7 = 1")
-
-
-@query("A20_all_distinct_models", f"SELECT DISTINCT domain_id, legal_form FROM {C} c")
-def all_distinct_models(spark: SparkSession, sf: str) -> DataFrame:
     return CANDIDATES.read(spark, sf).select("domain_id", "legal_form").distinct()
 
 
@@ -365,7 +352,7 @@ def stuck_by_batch(spark: SparkSession, sf: str) -> DataFrame:
 @query("A30_registry_profile", f"SELECT count(DISTINCT category) AS categories, count(DISTINCT legal_form) AS forms, count(DISTINCT entity_status) AS statuses, count(DISTINCT jurisdiction) AS jurisdictions, count(city) AS with_city FROM {E} e")
 def registry_profile(spark: SparkSession, sf: str) -> DataFrame:
     distinct = {"categories": "category", "forms": "legal_form", "statuses": "entity_status", "jurisdictions": "jurisdiction"}
-    return ENTITIES.read(spark, sf).agg(*[F.size(F.collect_set(c)).cast("long").alias(n) for n, c in distinct.items()], F.count("city").alias("with_city"))
+    return ENTITIES.read(spark, sf).agg(*[F.count_distinct(c).alias(n) for n, c in distinct.items()], F.count("city").alias("with_city"))
 
 
 @query(

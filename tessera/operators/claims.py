@@ -184,13 +184,8 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), F.lit(1)))).alias("cited"))
 
 
-@query("X48_json_repair", f"SELECT id, regexp_replace(regexp_extract(concat('```json\n{{\"name\": \"', domain, '\", \"n\": ', id, ',}}\n``` thanks'), '\\{{.*\\}}', 0), ',\\s*\\}}', '}}') AS repaired FROM {D} d WHERE id % 17 = 0")
+@query("X48_json_repair", f"SELECT id, regexp_replace(regexp_extract(concat('```json\n{{\"name\": \"', domain, '\", \"n\": ', id, ',}}\n``` thanks'), '\\{{.*\\}}', 0), ',\\s*\\}}', '}}') AS repaired FROM {D} d")
 def json_repair(spark: SparkSession, sf: str) -> DataFrame:
-    return all_json_repair(spark, sf).filter("id % 17 = 0")
-
-
-@query("X48_all_json_repair", f"SELECT id, regexp_replace(regexp_extract(concat('```json\n{{\"name\": \"', domain, '\", \"n\": ', id, ',}}\n``` thanks'), '\\{{.*\\}}', 0), ',\\s*\\}}', '}}') AS repaired FROM {D} d")
-def all_json_repair(spark: SparkSession, sf: str) -> DataFrame:
     """The braces of a model's answer, without fences and trailing commas."""
     answer = F.concat(F.lit('```json\n{"name": "'), "domain", F.lit('", "n": '), F.col("id").cast("string"), F.lit(",}\n``` thanks"))
     return DOMAINS.read(spark, sf).select("id", F.regexp_replace(F.regexp_extract(answer, r"\{.*\}", 0), r",\s*\}", "}").alias("repaired"))

@@ -224,8 +224,10 @@ def append(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J12_J19_eager_children", f"SELECT d.id, coalesce(list_sort(list_distinct(list(c.lei_code) FILTER (c.lei_code IS NOT NULL))), []) AS leis FROM {D} d LEFT JOIN {C} c ON d.id = c.domain_id WHERE d.batch_id = 'b11' GROUP BY d.id")
 def eager_children(spark: SparkSession, sf: str) -> DataFrame:
-    found = CANDIDATES.read(spark, sf).groupBy("domain_id").agg(F.array_sort(F.collect_set("lei_code")).alias("leis"))
-    return DOMAINS.read(spark, sf).filter("batch_id = 'b11'").join(found, F.col("id") == F.col("domain_id"), "left").select("id", F.coalesce("leis", F.array().cast("array<string>")).alias("leis"))
+    domains = DOMAINS.read(spark, sf).filter("batch_id = 'b11'")
+    asked = CANDIDATES.read(spark, sf).join(domains.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")
+    found = asked.groupBy("domain_id").agg(F.array_sort(F.collect_set("lei_code")).alias("leis"))
+    return domains.join(found, F.col("id") == F.col("domain_id"), "left").select("id", F.coalesce("leis", F.array().cast("array<string>")).alias("leis"))
 
 
 @query("M7_stalls", f"SELECT batch_id, seq FROM (SELECT batch_id, seq, ts, lag(ts) OVER (PARTITION BY batch_id ORDER BY ts, seq) AS before FROM {G} l) x WHERE ts - before > INTERVAL 2 HOUR")

@@ -33,8 +33,10 @@ def default_fields(spark: SparkSession, sf: str) -> DataFrame:
 def normalised_export(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates in rank order, repeated ones too."""
     in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", c))), lambda x: x[c]), "; ")
-    lists = ranked(CANDIDATES.read(spark, sf)).groupBy("domain_id").agg(in_order("lei_code").alias("lei_codes"), in_order("legal_name").alias("legal_names"))
-    joined = DOMAINS.read(spark, sf).filter("batch_id = 'b2'").join(lists, F.col("id") == F.col("domain_id"), "left")
+    domains = DOMAINS.read(spark, sf).filter("batch_id = 'b2'")
+    asked = CANDIDATES.read(spark, sf).join(domains.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")  # others' candidates are not sorted
+    lists = ranked(asked).groupBy("domain_id").agg(in_order("lei_code").alias("lei_codes"), in_order("legal_name").alias("legal_names"))
+    joined = domains.join(lists, F.col("id") == F.col("domain_id"), "left")
     return joined.select("id", "domain", F.coalesce("lei_codes", F.lit("")).alias("lei_codes"), F.coalesce("legal_names", F.lit("")).alias("legal_names"))
 
 
@@ -46,10 +48,12 @@ def normalised_export(spark: SparkSession, sf: str) -> DataFrame:
 )
 def nested_export(spark: SparkSession, sf: str) -> DataFrame:
     """Each enrichment is aggregated to one row a key before its left join."""
-    found = CANDIDATES.read(spark, sf).groupBy("domain_id").agg(F.count("*").alias("n"), F.max(F.col("weighted_score").cast("long")).alias("best"))
+    domains = DOMAINS.read(spark, sf).filter("batch_id = 'b0'")
+    asked = CANDIDATES.read(spark, sf).join(domains.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")
+    found = asked.groupBy("domain_id").agg(F.count("*").alias("n"), F.max(F.col("weighted_score").cast("long")).alias("best"))
     names = ENTITIES.read(spark, sf).select(F.col("lei_code").alias("primary_lei_code"), F.col("legal_name").alias("entity"))
     related = EDGES.read(spark, sf).groupBy(F.col("parent_lei").alias("primary_lei_code")).agg(F.count("*").alias("m"))
-    rows = DOMAINS.read(spark, sf).filter("batch_id = 'b0'").join(found, F.col("id") == F.col("domain_id"), "left").join(names, "primary_lei_code", "left").join(related, "primary_lei_code", "left")
+    rows = domains.join(found, F.col("id") == F.col("domain_id"), "left").join(names, "primary_lei_code", "left").join(related, "primary_lei_code", "left")
     record = F.struct("domain", F.coalesce("n", F.lit(0)).alias("candidates"), "best", "entity", F.coalesce("m", F.lit(0)).alias("relationships"))
     return rows.select("id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
 
@@ -125,14 +129,14 @@ def level2_reset(spark: SparkSession, sf: str) -> DataFrame:
     return DOMAINS.read(spark, sf).select("id", F.when(~reset, F.col("level2_status")).alias("level2_status"), F.when(reset, F.lit(False)).otherwise(F.col("level2_attempted")).alias("level2_attempted"))
 
 
-@query("P3_camel_case", f"SELECT domain_id AS domainId, lei_code AS leiCode, legal_name AS legalName, weighted_score AS weightedScore FROM {C} c WHERE domain_id < 500")
+@query("P3_camel_case", f"SELECT domain_id AS domainId, lei_code AS leiCode, legal_name AS legalName, weighted_score AS weightedScore FROM {C} c")
 def camel_case(spark: SparkSession, sf: str) -> DataFrame:
     def camel(name: str) -> str:
         first, *rest = name.split("_")
         return first + "".join(x.title() for x in rest)
 
     columns = ["domain_id", "lei_code", "legal_name", "weighted_score"]
-    return CANDIDATES.read(spark, sf).filter("domain_id < 500").select(*columns).withColumnsRenamed({c: camel(c) for c in columns})
+    return CANDIDATES.read(spark, sf).select(*columns).withColumnsRenamed({c: camel(c) for c in columns})
 
 
 @query("P4_label_to_number", f"SELECT id, CASE business WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.6 ELSE 0.3 END AS number FROM (SELECT id, CASE WHEN confidence_score >= 70 THEN 'high' WHEN confidence_score >= 40 THEN 'medium' ELSE 'low' END AS business FROM {D} d) x")
@@ -148,13 +152,8 @@ def dump_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return DUMPS.read(spark, sf).filter("html IS NOT NULL").select("dump_id", pretty.alias("pretty"))
 
 
-@query("P8_json_object", f"SELECT id, cast(to_json({{'domain': domain, 'status': status, 'method': extraction_method, 'retries': retry_count}}) AS VARCHAR) AS document FROM {D} d WHERE batch_id = 'b1'")
+@query("P8_json_object", f"SELECT id, cast(to_json({{'domain': domain, 'status': status, 'method': extraction_method, 'retries': retry_count}}) AS VARCHAR) AS document FROM {D} d")
 def json_object(spark: SparkSession, sf: str) -> DataFrame:
-    return json_objects(DOMAINS.read(spark, sf).filter("batch_id = 'b1'"))
-
-
-@query("P8_all_json_objects", f"SELECT id, cast(to_json({{'domain': domain, 'status': status, 'method': extraction_method, 'retries': retry_count}}) AS VARCHAR) AS document FROM {D} d")
-def all_json_objects(spark: SparkSession, sf: str) -> DataFrame:
     return json_objects(DOMAINS.read(spark, sf))
 
 

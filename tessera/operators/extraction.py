@@ -82,9 +82,9 @@ def clean_title(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("dump_id", name.alias("t")).select("dump_id", F.when(F.length("t").between(3, 100), F.col("t")).alias("name"))
 
 
-@query("X47_X84_contacts", f"SELECT doc_id, list_slice(list_distinct(regexp_extract_all(text, '{EMAIL}')), 1, 10).list_sort() AS emails, len(regexp_extract_all(text, '{CURRENCY}')) AS currencies FROM (SELECT doc_id, text FROM documents WHERE contains(text, '@')) d")
+@query("X47_X84_contacts", f"SELECT doc_id, list_slice(list_distinct(regexp_extract_all(text, '{EMAIL}')), 1, 10).list_sort() AS emails, len(regexp_extract_all(text, '{CURRENCY}')) AS currencies FROM documents d")
 def contacts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("text").contains("@"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     emails = F.array_sort(F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))), 1, 10))
     return docs.select("doc_id", emails.alias("emails"), F.regexp_count("text", F.lit(CURRENCY)).cast("long").alias("currencies"))
 
@@ -163,8 +163,8 @@ def protection(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("dump_id", F.col("html").rlike("(?i)cloudflare|cf-ray|attention required").alias("protected"))
 
 
-# Industries and their words.
-INDUSTRY = {"technology": ["software", "cloud", "digital"], "finance": ["bank", "invest", "insurance"], "health": ["medical", "pharma", "clinic"], "retail": ["shop", "store", "retail"], "other_words": ["the", "of"]}
+# A short list of industries and their words; the full one is in evidence.py.
+INDUSTRY = {"technology": ["software", "cloud", "digital"], "finance": ["bank", "invest", "insurance"], "health": ["medical", "pharma", "clinic"], "retail": ["shop", "store", "retail"]}
 
 
 @query(
@@ -179,7 +179,7 @@ def industry(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("dump_id", F.explode(best).alias("x")).select("dump_id", "x.industry", (-F.col("x.h")).alias("hits"))
 
 
-# Classes of markers that place a page.
+# A short list of markers that place a page; the full one is in evidence.py.
 MARKERS = {"language": r'(?i)lang="(de|fr|es|en)"', "currency": r"€|\$|£", "phone": r"\+(?:49|33|34|1|44)", "address": r"(?i)straße|rue |calle |street"}
 MARKER_WEIGHTS = {"language": 10, "currency": 5, "phone": 20, "address": 15}
 

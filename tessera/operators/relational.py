@@ -283,13 +283,8 @@ def related_entities(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(active, "me").join(names, "other").select("me", "related_name", "relationship_type")
 
 
-@query("J18_known_company", f"SELECT d.id, k.name AS known_name FROM {D} d LEFT JOIN (VALUES ('auto1.com', 'Auto One'), ('buil2.de', 'Build Two'), ('mach9.fr', 'Machine Nine')) k(domain, name) ON d.domain = k.domain WHERE d.id % 3 = 0")
+@query("J18_known_company", f"SELECT d.id, k.name AS known_name FROM {D} d LEFT JOIN (VALUES ('auto1.com', 'Auto One'), ('buil2.de', 'Build Two'), ('mach9.fr', 'Machine Nine')) k(domain, name) ON d.domain = k.domain")
 def known_company(spark: SparkSession, sf: str) -> DataFrame:
-    return all_known_companies(spark, sf).filter("id % 3 = 0")
-
-
-@query("J18_all_known_companies", f"SELECT d.id, k.name AS known_name FROM {D} d LEFT JOIN (VALUES ('auto1.com', 'Auto One'), ('buil2.de', 'Build Two'), ('mach9.fr', 'Machine Nine')) k(domain, name) ON d.domain = k.domain")
-def all_known_companies(spark: SparkSession, sf: str) -> DataFrame:
     """A dictionary given with the call; its size is the caller's, three rows here."""
     known = spark.createDataFrame([("auto1.com", "Auto One"), ("buil2.de", "Build Two"), ("mach9.fr", "Machine Nine")], "domain string, known_name string")
     return DOMAINS.read(spark, sf).join(F.broadcast(known), "domain", "left").select("id", "known_name")

@@ -12,8 +12,14 @@ from tessera.sources.logical import CANDIDATES, DOMAINS, ENTITIES
 
 D, C, E = DOMAINS.sql, CANDIDATES.sql, ENTITIES.sql
 
-# Top-level domains and the countries they stand for.
-TLD_COUNTRY = {"de": "DE", "fr": "FR", "uk": "GB", "br": "BR", "us": "US", "ca": "CA", "it": "IT", "mx": "MX", "ie": "IE", "jp": "JP", "cn": "CN", "in": "IN", "nl": "NL", "ch": "CH", "es": "ES", "se": "SE", "sg": "SG", "tw": "TW", "ru": "RU", "cz": "CZ"}
+# Top-level domains and the countries they stand for; and those that stand for a country only by custom.
+TLD_COUNTRY = {
+    "us": "US", "uk": "GB", "de": "DE", "fr": "FR", "it": "IT", "es": "ES", "nl": "NL", "be": "BE", "ch": "CH", "at": "AT", "jp": "JP", "cn": "CN", "kr": "KR", "in": "IN", "br": "BR",
+    "mx": "MX", "ca": "CA", "au": "AU", "nz": "NZ", "za": "ZA", "sg": "SG", "hk": "HK", "tw": "TW", "my": "MY", "id": "ID", "th": "TH", "vn": "VN", "ph": "PH", "ru": "RU", "pl": "PL",
+    "se": "SE", "no": "NO", "dk": "DK", "fi": "FI", "ie": "IE", "pt": "PT", "gr": "GR", "cz": "CZ", "hu": "HU", "ro": "RO", "bg": "BG", "hr": "HR", "si": "SI", "sk": "SK", "lt": "LT",
+    "lv": "LV", "ee": "EE", "il": "IL", "ae": "AE", "sa": "SA", "eg": "EG", "ng": "NG", "ke": "KE", "ma": "MA", "tn": "TN", "tr": "TR", "pk": "PK", "bd": "BD", "lk": "LK",
+}
+TLD_CUSTOM = {"com": "US", "net": "US", "org": "US"}
 # Jurisdictions by what a .com domain of theirs is worth.
 COM_MAJOR, COM_OTHER = ["CA", "GB", "DE", "FR", "JP", "AU", "NL", "CH"], ["IT", "ES", "SE", "NO", "DK", "FI", "BE", "AT", "IE"]
 # Substrings of names that count as signs of a large company.
@@ -51,11 +57,11 @@ TLD_V1_SQL = f"""CASE WHEN {case(TLD_COUNTRY, TLD_SQL)} = jurisdiction THEN 100
 
 
 def tld_score_v2(domain: Column, jurisdiction: Column) -> Column:
-    expected = lookup(TLD_COUNTRY, names.top_level(domain))
+    expected = lookup(TLD_COUNTRY | TLD_CUSTOM, names.top_level(domain))
     return F.when(expected.isNull(), 50).when(expected == jurisdiction, 100).otherwise(20)
 
 
-TLD_V2_SQL = f"CASE WHEN {case(TLD_COUNTRY, TLD_SQL)} IS NULL THEN 50 WHEN {case(TLD_COUNTRY, TLD_SQL)} = jurisdiction THEN 100 ELSE 20 END"
+TLD_V2_SQL = f"CASE WHEN {case(TLD_COUNTRY | TLD_CUSTOM, TLD_SQL)} IS NULL THEN 50 WHEN {case(TLD_COUNTRY | TLD_CUSTOM, TLD_SQL)} = jurisdiction THEN 100 ELSE 20 END"
 
 
 def large_score_v1(name: Column, status: Column) -> Column:
@@ -219,9 +225,9 @@ def bare_host(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", names.bare_host(F.col("url")).alias("host"))
 
 
-@query("X4_X5_country_of_domain", f"SELECT id, {case(TLD_COUNTRY, TLD_SQL)} AS country FROM {D} d")
+@query("X4_X5_country_of_domain", f"SELECT id, {case(TLD_COUNTRY | TLD_CUSTOM, TLD_SQL)} AS country FROM {D} d")
 def country_of_domain(spark: SparkSession, sf: str) -> DataFrame:
-    return DOMAINS.read(spark, sf).select("id", lookup(TLD_COUNTRY, names.top_level(F.col("domain"))).alias("country"))
+    return DOMAINS.read(spark, sf).select("id", lookup(TLD_COUNTRY | TLD_CUSTOM, names.top_level(F.col("domain"))).alias("country"))
 
 
 @query("X7_domain_context", f"SELECT id, list_extract(string_split(domain, '.'), 1) AS label, array_to_string(list_slice(string_split(domain, '.'), 2, 9), '.') AS suffix, len(string_split(domain, '.')) AS parts FROM {D} d")
@@ -230,13 +236,8 @@ def domain_context(spark: SparkSession, sf: str) -> DataFrame:
     return DOMAINS.read(spark, sf).select("id", names.base_label(F.col("domain")).alias("label"), F.array_join(F.slice(parts, 2, 9), ".").alias("suffix"), F.size(parts).cast("long").alias("parts"))
 
 
-@query("X8_X9_stems", f"SELECT id, list_distinct(list_filter(list_concat([list_extract(string_split(domain, '.'), 1)], regexp_split_to_array(list_extract(string_split(domain, '.'), 1), '[-_0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({listed(names.STOP_STEMS)}))).list_sort() AS stems FROM {D} d WHERE id % 11 = 2")
+@query("X8_X9_stems", f"SELECT id, list_distinct(list_filter(list_concat([list_extract(string_split(domain, '.'), 1)], regexp_split_to_array(list_extract(string_split(domain, '.'), 1), '[-_0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({listed(names.STOP_STEMS)}))).list_sort() AS stems FROM {D} d")
 def stems(spark: SparkSession, sf: str) -> DataFrame:
-    return all_stems(spark, sf).filter("id % 11 = 2")
-
-
-@query("X8_X9_all_stems", f"SELECT id, list_distinct(list_filter(list_concat([list_extract(string_split(domain, '.'), 1)], regexp_split_to_array(list_extract(string_split(domain, '.'), 1), '[-_0-9]+')), lambda x: length(x) > 2 AND x NOT IN ({listed(names.STOP_STEMS)}))).list_sort() AS stems FROM {D} d")
-def all_stems(spark: SparkSession, sf: str) -> DataFrame:
     return DOMAINS.read(spark, sf).select("id", F.array_sort(names.stems(F.col("domain"))).alias("stems"))
 
 

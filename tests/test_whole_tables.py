@@ -9,12 +9,12 @@ from tessera.sources.logical import CANDIDATES, DOMAINS
 from tests.conftest import SF
 
 WHOLE = {
-    "A8_all_candidates_json": (CANDIDATES, "domain_id"),
-    "A20_all_distinct_models": (CANDIDATES, "domain_id"),
-    "X48_all_json_repair": (DOMAINS, "id"),
-    "X8_X9_all_stems": (DOMAINS, "id"),
-    "J18_all_known_companies": (DOMAINS, "id"),
-    "P8_all_json_objects": (DOMAINS, "id"),
+    "A8_candidates_json": (CANDIDATES, "domain_id"),
+    "A20_distinct_models": (CANDIDATES, "domain_id"),
+    "X48_json_repair": (DOMAINS, "id"),
+    "X8_X9_stems": (DOMAINS, "id"),
+    "J18_known_company": (DOMAINS, "id"),
+    "P8_json_object": (DOMAINS, "id"),
 }
 
 
