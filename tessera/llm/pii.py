@@ -204,7 +204,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prec
 
     Counts and ``base_sha256`` are of base spans; ``spans`` lists base and added ones as kind:start:end. A null text is empty and has none; repeated rows each get
     a row. Where the corpus has no generated candidates, or none to learn from, only base spans remain."""
-    found = candidates(docs, id_col, text_col)
+    found = materialize(candidates(docs, id_col, text_col))  # the texts are searched once; a few bytes a document stay
     chosen = accepted(found, precision)
     base = F.filter("base", lambda x: x["valid"])
     clear = lambda x: ~F.exists("kept", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
