@@ -18,17 +18,16 @@ from tessera.llm.common import broadcast_if_small, materialize
 
 #: Vectors the codebooks are fitted on, those with the smallest hashes; all vectors are indexed.
 SAMPLE = 16_384
-#: A query reranks at least so many entries, and at least this share of them. The share is for vectors without any structure (uniform on a sphere in 64
-#: dimensions), where 0.4 finds over 0.9 of the true neighbours; clustered vectors need a small fraction of it.
-RERANK = 3_000
-SHARE = 0.4
+#: A query reranks at least so many entries, and at least the share of them that holds so much of the true neighbours of PROBED vectors within the sample. Vectors
+#: without any structure (uniform on a sphere in 64 dimensions) need some 0.4 of the entries, clustered ones a small fraction.
+RERANK, HELD, PROBED = 1_000, 0.95, 256
 NEAREST = 10
 #: Centroids of a half follow the square root of the entries, up to this; the counts of all cells then take 2 MB.
 MOST_CENTROIDS = 512
 #: Mean entries of a cell.
 PER_CELL = 1.5
-#: Entries of a cell that one task compares; larger cells are dealt into blocks.
-BLOCK = 4096
+#: Entries and queries of a first centroid that one task compares; more are dealt into blocks of either.
+BLOCK, QUERIES = 4096, 4096
 #: Up to so many result lists (about 200 bytes each) are broadcast to the query ids.
 LISTS = 50_000
 
@@ -87,29 +86,55 @@ class Codebooks:
         return nearest_centre(vectors[:, : self.half], self.first) * len(self.second) + nearest_centre(vectors[:, self.half :], self.second)
 
 
+def needed_share(sample: np.ndarray, books: Codebooks, k: int, held: float = HELD) -> float:
+    """The share of entries that a walk must meet to hold so much of the true neighbours, measured within the sample."""
+    if len(sample) < 2:
+        return 1.0
+    cells = books.cells(sample)
+    one, two = cells // len(books.second), cells % len(books.second)
+    shares = []
+    for at in np.unique(np.linspace(0, len(sample) - 1, PROBED).astype(int)):
+        q = sample[at : at + 1]
+        exact = ((sample - q) ** 2).sum(axis=1)
+        exact[at] = np.inf
+        summed = distances(q[:, : books.half], books.first)[0][one] + distances(q[:, books.half :], books.second)[0][two]
+        near = np.argsort(exact, kind="stable")[: min(k, len(sample) - 1)]
+        shares.append(np.searchsorted(np.sort(summed), summed[near], side="right") / len(sample))
+    return float(np.quantile(np.concatenate(shares), held))
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = NEAREST, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = NEAREST, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, share: float | None = None, sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each vector whose id is divisible by ``every`` its k nearest others found.
 
-    Equal vectors are one entry with its k+1 smallest ids and queries of equal vectors one probe, so a vector that fills the table costs as much as any
-    other. Vectors of another width than the most common one take no part. Rows that repeat an id and vector are one. Fewer
-    candidates than k give all of them; an empty table gives no rows. Distances are in double precision, ties go to the smaller id."""
-    spark = vectors.sparkSession
-    all_rows = usable(vectors, id_col, vec_col)
-    widths = all_rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
-    if not widths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = widths[0]["width"]
-    rows = all_rows.filter(F.size("v") == width).withColumn("key", F.xxhash64("v"))
+    A query reranks at least ``rerank`` entries and ``share`` of all; without a share it is measured on the sample. Equal vectors are one entry with its k+1 smallest ids and
+    queries of equal vectors one probe, so a vector that fills the table costs as much as any other. Between vectors of different widths there is no distance, so each width
+    is searched by itself. Rows that repeat an id and vector are one. Fewer candidates than k give all of them; an empty table gives no rows. Distances are in double
+    precision, ties go to the smaller id."""
+    rows = usable(vectors, id_col, vec_col)
+    widths = sorted(r["width"] for r in rows.select(F.size("v").alias("width")).distinct().collect())
+    found = vectors.sparkSession.createDataFrame([], RESULT)
+    for width in widths:
+        found = found.unionByName(_search_width(rows.filter(F.size("v") == width), width, every, k, rerank, share, sample))
+    return found
+
+
+def _search_width(rows: DataFrame, width: int, every: int, k: int, rerank: int, share: float | None, sample: int) -> DataFrame:
+    spark = rows.sparkSession
+    rows = rows.withColumn("key", F.concat_ws(" ", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
     ranked = Window.partitionBy("key", "v").orderBy("vec_id")
     # the rank limit is applied before the shuffle too, so a vector that fills the table sends few rows
     entries = materialize(rows.withColumn("place", F.dense_rank().over(ranked)).filter(F.col("place") <= k + 1).groupBy("key", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
     n = entries.count()
-    learnt = np.array([r["v"] for r in entries.orderBy("key").limit(sample).select("v").collect()])
+    learnt = np.array([r["v"] for r in entries.orderBy(F.xxhash64("key")).limit(sample).select("v").collect()])
     books = Codebooks(learnt, int(np.clip(round((n / PER_CELL) ** 0.5), 1, MOST_CENTROIDS)))
+    enough = max(rerank, int(np.ceil((needed_share(learnt, books, k) if share is None else share) * n)))
     shared = spark.sparkContext.broadcast(books)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,39 +142,39 @@ def search(vectors: DataFrame, every: int = 100, k: int = NEAREST, id_col: str =
             cells = shared.value.cells(_matrix(batch.column(1), width))
             yield pa.record_batch([pa.array(cells, pa.int32()), *batch.columns], ["cell", "key", "v", "ids"])
 
-    indexed = materialize(entries.select("key", "v", "ids").mapInArrow(assign, "cell int, key long, v array<double>, ids array<long>"))
+    indexed = materialize(entries.select("key", "v", "ids").mapInArrow(assign, "cell int, key string, v array<double>, ids array<long>"))
     sizes = np.zeros(len(books.first) * len(books.second), np.int64)
     for r in indexed.groupBy("cell").count().collect():  # a row a cell, of which there are at most MOST_CENTROIDS squared
         sizes[r["cell"]] = r["count"]
     held = spark.sparkContext.broadcast(sizes)
-    enough = max(rerank, int(share * n))
     wanted = rows.filter(F.col("vec_id") % every == 0)
-
     seconds = len(books.second)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each first centroid that the walk meets, with the second ones as bits, and for each block of its entries."""
+        """A row for each first centroid that the walk meets, with the second ones as bits."""
         b = shared.value
-        blocks = -(-held.value.reshape(-1, seconds).sum(axis=1) // BLOCK)
         for batch in batches:
             q = _matrix(batch.column(1), width)
             one, two = distances(q[:, : b.half], b.first), distances(q[:, b.half :], b.second)
             for i in range(len(q)):
-                met = np.zeros((len(blocks), seconds), bool)
+                met = np.zeros((len(b.first), seconds), bool)
                 met.reshape(-1)[list(walk(one[i], two[i], held.value, enough))] = True
-                bits = np.packbits(met, axis=1)
-                rows = [(int(f), x, bits[f].tobytes()) for f in np.flatnonzero(met.any(axis=1)) for x in range(blocks[f])]
-                if rows:
-                    same = pa.array([i] * len(rows))
-                    first, block, wanted = zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array(first, pa.int32()), pa.array(block, pa.int32()), pa.array(wanted, pa.binary()), batch.column(0).take(same), batch.column(1).take(same)], ["first", "block", "bits", "query", "q"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    queries = wanted.groupBy("key").agg(F.first("v").alias("v")).repartition(parts, "key")
-    probes = queries.mapInArrow(probe, "first int, block int, bits binary, query long, q array<double>")
-    per_first = spark.createDataFrame([(f, int(-(-m // BLOCK))) for f, m in enumerate(sizes.reshape(-1, seconds).sum(axis=1)) if m], "first int, blocks int")
-    first = F.floor(F.col("cell") / seconds).cast("int")
-    dealt = indexed.withColumn("first", first).join(F.broadcast(per_first), "first").select("first", F.pmod("key", F.col("blocks").cast("long")).cast("int").alias("block"), (F.col("cell") % seconds).alias("second"), "v", "ids")
+                first = np.flatnonzero(met.any(axis=1))
+                bits = [x.tobytes() for x in np.packbits(met[first], axis=1)]
+                yield pa.record_batch([pa.array(first, pa.int32()), pa.array(bits, pa.binary()), batch.column(0).take(pa.array([i] * len(first), pa.int64()))], ["first", "bits", "query"])
+
+    # another expression than the aggregate's key, and a given number: else Spark packs the few small rows into one task
+    queries = materialize(wanted.groupBy("key").agg(F.first("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("key", F.lit(1))))
+    walked = materialize(queries.mapInArrow(probe, "first int, bits binary, query string"))
+    asked = {r["first"]: r["count"] for r in walked.groupBy("first").count().collect()}  # at most MOST_CENTROIDS rows
+    per_first = sizes.reshape(-1, seconds).sum(axis=1)
+    deals = [(f, int(-(-per_first[f] // BLOCK)), int(-(-m // QUERIES))) for f, m in sorted(asked.items())]
+    deal = F.broadcast(spark.createDataFrame(deals, "first int, blocks int, asking int"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    probes = walked.join(deal, "first").withColumn("part", F.pmod(F.xxhash64("query", "first"), F.col("asking").cast("long")).cast("int")).withColumn("block", upto("blocks"))
+    probes = probes.join(queries.select(F.col("key").alias("query"), F.col("v").alias("q")), "query").select("first", "block", "part", "bits", "query", "q")
+    dealt = indexed.withColumn("first", F.floor(F.col("cell") / seconds).cast("int")).join(deal, "first").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("part", upto("asking")).select("first", "block", "part", (F.col("cell") % seconds).alias("second"), "v", "ids")
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -163,9 +188,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = NEAREST, id_col: str =
                 cut = np.partition(exact, k)[k] if len(exact) > k + 1 else np.inf
                 near = np.flatnonzero(exact <= cut)  # ties at the cut stay, to be settled by id
                 found.append(pa.table([left["query"].take(pa.array([at] * len(near), pa.int64())), pa.array(exact[near]), ids.take(pa.array(asked[near]))], ["query", "score", "ids"]))
-        return pa.concat_tables(found) if found else pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], ["query", "score", "ids"])
+        return pa.concat_tables(found) if found else pa.table([pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], ["query", "score", "ids"])
 
-    close = probes.groupBy("first", "block").cogroup(dealt.groupBy("first", "block")).applyInArrow(nearest, "query long, score double, ids array<long>")
+    keys = ["first", "block", "part"]
+    close = probes.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(nearest, "query string, score double, ids array<long>")
     best = Window.partitionBy("query").orderBy("score", "vec_id")
     singles = close.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
     lists = materialize(singles.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found")))
