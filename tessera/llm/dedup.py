@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize
+from tessera.llm.common import ascii_lower, broadcast_if_small, materialize
 
 #: Counters of a summary; also the most rows that are broadcast.
 COUNTERS = 64
+#: Up to so many groups, or rows that go (some 60 bytes each), are broadcast.
+GROUPS = 200_000
 
 
 def misra_gries(df: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
@@ -48,15 +50,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         digests.join(F.broadcast(frequent), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )  # at most k rows: exact counts of the candidates
     hot = digests.join(F.broadcast(winners), "digest")
-    same = Window.partitionBy("digest")
-    cold = digests.join(F.broadcast(winners), "digest", "left_anti").select(
-        "digest", "doc_id", F.max("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size")
-    )
+    cold = digests.join(F.broadcast(winners), "digest", "left_anti")
+    # counted with partial sums, so that a digest just below the frequent ones is no group in one task; then only groups of several rows join
+    several = materialize(cold.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))
+    joined = cold.join(broadcast_if_small(several, GROUPS), "digest", "left")
+    cold = joined.select("digest", "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     return hot.unionByName(cold).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The input rows that exact_dedup keeps, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col, k).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), "text_sha256").distinct()
-    digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]) & (digest == gone["text_sha256"]), "left_anti")
+    """The input rows that exact_dedup keeps, with all their columns. The ids and digests of those that go are broadcast if few: then no text is
+    shuffled. Nulls and repeated rows are as in exact_dedup."""
+    gone = exact_dedup(docs, id_col, text_col, k).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.unhex("text_sha256").alias("__gone_digest")).distinct()
+    gone = broadcast_if_small(materialize(gone), GROUPS)
+    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]) & (digest == gone["__gone_digest"]), "left_anti")
