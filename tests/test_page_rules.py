@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import evidence, ladders
+from tessera.operators import evidence, ladders, metadata
 
 
 def one(spark, value, *columns):
@@ -128,3 +128,25 @@ def test_score_v4(spark):
     assert one(spark, "", *ladders.score_v4(*c).values()) == (95, 95, 25, 70)
     c = [F.lit(x) for x in ("acme.de", "The Acme Works", "Acme GmbH", "2HBR", "DE", "INACTIVE", "ISSUED")]
     assert one(spark, "", *ladders.score_v4(*c).values()) == (90, 60, 60, 20)
+
+
+def test_metadata(spark):
+    html = """<html lang="en-GB"><head><meta property="og:price:currency" content="EUR"><meta property="og:price:amount" content="5"></head><body itemtype="https://schema.org/Organization">
+    <script type="application/ld+json">{"@type": "Organization", "address": {"addressCountry": "IE", "addressLocality": "Cork"}}</script><a href="/terms">Terms</a><footer>© Acme Ltd</footer></body></html>"""
+    text = "We are registered in England and Wales. The fee is £5 or £6 and $1, USD. Stripe. GDPR: privacy policy, cookie consent, data controller. Hereby the parties shall and shall not. insurance banking trading finance investment banking FCA"
+    facts = metadata.page_metadata(F.lit(html), F.col("v"), F.lit("acme.de"))
+    got = dict(zip(facts, one(spark, text, *facts.values()), strict=True))
+    assert (got["language"], got["country"], got["city"], got["jurisdiction"]) == ("en", "IE", "Cork", "England and Wales")
+    assert got["language_confidence"] == pytest.approx(0.5) and got["location_confidence"] == pytest.approx(0.7)
+    assert (got["currency"], got["currencies"], got["currency_confidence"]) == ("GBP", "EUR,GBP,USD", 1.0)
+    assert (got["formality"], got["private"], got["sector"], got["region"], got["disclosure"]) == ("low", True, "Financial Services", "UK_FCA", "high")
+    assert got["transparency"] == pytest.approx(0.8)  # footer 0.3, registered 0.2, item type 0.3
+
+
+def test_summary(spark):
+    html = '<html><head><title>Welcome to Acme Solutions | Home</title>{}</head></html>'
+    text = "© 2024 Acme Steel GmbH, Mail x@y.com or +49 301 234 5678"
+    summed = lambda head: dict(zip(("title", "company", "primary", "entities", "emails", "phones"), one(spark, text, *metadata.summary(F.lit(html.format(head)), F.col("v")).values()), strict=True))
+    got = summed("")
+    assert (got["entities"], got["primary"], got["emails"]) == ("Acme; Acme Steel GmbH", "Acme Steel GmbH", "x@y.com") and "301 234 5678" in got["phones"]
+    assert summed('<meta property="og:site_name" content="The  Site.">')["primary"] == "The Site"
