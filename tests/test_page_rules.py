@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import evidence, ladders, metadata
+from tessera.operators import entities, evidence, ladders, metadata
 
 
 def one(spark, value, *columns):
@@ -150,3 +150,39 @@ def test_summary(spark):
     got = summed("")
     assert (got["entities"], got["primary"], got["emails"]) == ("Acme; Acme Steel GmbH", "Acme Steel GmbH", "x@y.com") and "301 234 5678" in got["phones"]
     assert summed('<meta property="og:site_name" content="The  Site.">')["primary"] == "The Site"
+
+
+def test_entity_evidence(spark):
+    def page(blocks, text="", title="Acme | Home"):
+        html = f"<html><head><title>{title}</title>" + "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks) + "</head></html>"
+        found = spark.createDataFrame([(html, text)], "h string, t string").select(entities.evidence(F.col("h"), F.col("t")).alias("e"))
+        facts = entities.page_entities(F.col("e"))
+        row = found.select(*[c.alias(n) for n, c in facts.items()]).collect()[0]
+        return row["primary_entity"], row["entities"], row["evidence"], round(row["confidence"], 9)
+
+    assert page([]) == ("Acme", "Acme", "page_title=Acme", 0.6)
+    # organisation .3, title .1, ending .2 on .5: capped
+    assert page(['{"@type": "Organization", "name": "Acme Steel"}']) == ("Acme Steel Inc.", "Acme; Acme Steel Inc.", "page_title=Acme; json-ld_organization=Acme Steel Inc.", 0.95)
+    graph = '{"@graph": [{"@type": ["Thing", "LocalBusiness"], "name": "Acme Shop"}, {"brand": {"name": "acme"}, "publisher": {"name": "Big Press AG"}}]}'
+    assert page([graph])[1] == "Acme; Acme Shop Inc.; Big Press AG"
+    assert page([graph])[2] == "page_title=Acme; json-ld_local_business=Acme Shop Inc.; json-ld_brand=acme; json-ld_publisher=Big Press AG"
+    assert page(['[{"@type": "Organization", "name": "One GmbH"}, {"@type": "Organization", "name": "Longer Two GmbH"}]'])[0] == "Longer Two GmbH"
+    assert page([], "Copyright by Acme Works, All. © 2024 x", "")[2] == "copyright=Acme Works"
+    assert page([], "", "")[0] is None and page([], "", "")[3] == 0.0
+    assert page([], "© Your Partner in steel, x", "Ab | x") == (None, "", "", 0.0)
+
+
+def test_footer_ladder(spark):
+    climb = lambda text: one(spark, f"<p>x</p><footer>{text}</footer>", *entities.footer_ladder(F.col("v")))
+    assert climb("&copy; 2024 Acme Steel GmbH. All rights reserved") == ("Acme Steel GmbH", "puppeteer_footer_copyright", 85)
+    assert climb("Acme Holdings - All Rights Reserved") == ("Acme Holdings", "puppeteer_footer_copyright", 85)
+    assert climb("This site is operated by Acme Steel Corporation") == ("Acme Steel Corp", "puppeteer_legal_disclaimer", 75)
+    assert climb("nothing here") == (None, "puppeteer_failed", 0)
+
+
+def test_full_record(spark):
+    rows = ['{"attributes": {"lei": "L1", "entity": {"legalName": {"name": "A"}, "associatedBIC": ["X", "Y"], "legalAddress": {"country": "DE", "addressLines": ["S 1", "F 2"]}}, "successorEntity": {"lei": "L2"}}}', '{"attributes": {"lei": "L3"}}', "{broken"]
+    got = entities.full_record(spark.createDataFrame([(r,) for r in rows], "json string")).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r["lei_code"], r["entity_status"], r["category"], r["registration_status"], r["bics"], r["legal_lines"], r["jurisdiction"], r["successor"], r["headquarters_city"]) == ("L1", "UNKNOWN", "GENERAL", "UNKNOWN", "X, Y", "S 1, F 2", "DE", "L2", "")
