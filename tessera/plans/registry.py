@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.operators import analytics, claims, details, entities, evidence, exports, extraction, graph, ladders, metadata, relational, scoring, sources  # noqa: F401  they register themselves
+from tessera.operators import analytics, claims, details, entities, evidence, exports, extraction, graph, judgements, ladders, metadata, relational, scoring, sources  # noqa: F401  they register themselves
 from tessera.plans.register import QUERIES, SQL, Query
 from tessera.streaming import events  # noqa: F401
 

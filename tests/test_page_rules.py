@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import entities, evidence, ladders, metadata
+from tessera.operators import entities, evidence, judgements, ladders, metadata
 
 
 def one(spark, value, *columns):
@@ -186,3 +186,26 @@ def test_full_record(spark):
     assert len(got) == 1
     r = got[0]
     assert (r["lei_code"], r["entity_status"], r["category"], r["registration_status"], r["bics"], r["legal_lines"], r["jurisdiction"], r["successor"], r["headquarters_city"]) == ("L1", "UNKNOWN", "GENERAL", "UNKNOWN", "X, Y", "S 1, F 2", "DE", "L2", "")
+
+
+def test_judgements(spark):
+    value = lambda c: one(spark, "", c)[0]
+    text = F.lit("Held by Acme Steel GmbH and Beta Works Limited, also ACME STEEL GMBH")
+    assert value(judgements.legal_entities(text)) == ["Held by Acme Steel GmbH", "also ACME STEEL GMBH", "Held by Acme Steel GmbH and Beta Works Limited"]
+    assert value(judgements.answer_confidence(F.lit("Acme Inc."), F.lit("acme.com"))) == 100 and value(judgements.answer_confidence(F.lit("Beta"), F.lit("acme.com"))) == 50
+    cited = lambda n, k, c, s, m, said: value(judgements.cited_confidence(*(F.lit(x).cast(t) for x, t in zip((n, k, c, s, m, said), ("string", "string", "string", "int", "int", "string"), strict=True))))
+    assert cited("A", None, None, 0, 0, None) == 60 and cited("A", "x", "DE", 1, 9, None) == 95 and cited("A", None, None, 0, 1, "High") == 95 and cited("", "x", "y", 1, 1, "high") == 0
+    assert cited("A", None, None, 0, 1, "low") == 70
+    patterns = lambda x: value(judgements.search_patterns(F.lit(x)))
+    assert patterns("ELcomponics Ltd.") == ["ELcomponics Ltd.%", "ELcomponics%", "ELcomponics Holdings%", "ELcomponics International%", "ELcomponics Global%", "EL componics%"]
+    assert patterns("Acme Systems") == [] and patterns("Acme") == ["Acme%"] and patterns("the Acme") == ["the Acme%"]
+    assert [value(judgements.form_type(F.lit(x).cast("string"))) for x in ("5WWO", "ZZZZ", None)] == ["Foundation", "Legal Form: ZZZZ", "Unknown Legal Form"]
+    assert [value(judgements.accessibility(F.lit(x).cast("string"))) for x in ("Protected - x", "cloudflare", "bot wall", None)] == ["Protected", "Cloudflare", "Bot-Detection", "Open"]
+    assert [value(judgements.title_confidence(F.lit(x))) for x in ("Acme Inc.", "Harvard University", "World leader Inc.", "Search", "Acme", "AB")] == [95, 85, 10, 5, 30, 10]
+    # name found 40, similarity 0.4 times 30, a company part 10: capped at 50; no term of the domain in the name
+    match = lambda legal, place, kind, domain, term: value(judgements.match_confidence(*(F.lit(x).cast("string") for x in (legal, place, kind, domain, term))))
+    assert match("Acme GmbH", "DE", None, "acme.de", "Acme") == 100
+    assert match("Beta GmbH", "FR", "FUND", "acme.de", "zz") == pytest.approx(100 - 40 - 20 - 15 + max(0, (1 - 9 / 9) * 30 - 20 + 10))
+    assert match("Beta GmbH", "DE", None, "acme.de", "Group") == 10
+    assert value(judgements.ner_confidence(F.lit("Acme Steel Inc"), F.lit("© 2024 Acme Steel Inc"))) == pytest.approx(0.95)
+    assert value(judgements.ner_confidence(F.lit("Terms Co"), F.lit("x"))) == pytest.approx(0.3)
