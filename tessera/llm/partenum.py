@@ -33,6 +33,8 @@ SALTS = 4
 SHARED = 16
 #: Signatures of a bucket, about; a bucket is what one task compares.
 PER_BUCKET = 2_000_000
+#: Characters of the texts that a task works on at once.
+GROUP = 1 << 21
 #: Up to so many ids (8 bytes each) are broadcast.
 IDS = 200_000
 U = np.uint64
@@ -162,26 +164,40 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class``; class 0 has no shingles."""
+    """``doc_id, tag, n_shingles, class``; class 0 has no shingles, the tag is a hash of the text as it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for texts in text_groups(batch.column(1)):
+            for texts in text_groups(batch.column(2), GROUP):
                 hashes, counts = shingle_sets(texts)
-                yield pa.record_batch([batch.column(0).slice(done, len(texts)), pa.array(counts, pa.int64()), pa.array(set_classes(hashes, counts))], ["doc_id", "n_shingles", "class"])
+                ids = [batch.column(i).slice(done, len(texts)) for i in (0, 1)]
+                yield pa.record_batch([*ids, pa.array(counts, pa.int64()), pa.array(set_classes(hashes, counts))], ["doc_id", "tag", "n_shingles", "class"])
                 done += len(texts)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, class long")
+    rows = _texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, tag long, n_shingles long, class long")
+
+
+def spread(owner: np.ndarray, sign: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures without those of all but the first SHARED + 1 owners of each, and how many each class lost."""
+    order = np.argsort(sign, kind="stable")
+    begins = np.flatnonzero(np.r_[True, sign[order][1:] != sign[order][:-1]])
+    place = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
+    over = order[place > SHARED]
+    keep = np.ones(len(sign), bool)
+    keep[over] = False
+    return owner[keep], sign[keep], np.bincount(owner[over], minlength=classes)
 
 
 def signed(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Signatures dealt by bucket. A row holds, for one bucket and a group of texts, the classes with their slack and number of signatures, and
-    the signatures' low 40 bits in two columns; equal classes of the group sign once."""
+    the signatures' low 40 bits in two columns; equal classes of the group sign once. Of a signature that more than SHARED classes of the group share, SHARED + 1 go to
+    its bucket, so that no bucket fills with it; the others are known to share it widely, and ``wides`` counts that in a row of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_groups(batch.column(0)):
+            for texts in text_groups(batch.column(0), GROUP):
                 hashes, counts = shingle_sets(texts)
                 found = set_classes(hashes, counts)
                 _, once = np.unique(found, return_index=True)
@@ -191,6 +207,7 @@ def signed(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
                 owner, sign, slack = signatures(hashes, counts)
                 if not len(owner):
                     continue
+                owner, sign, wides = spread(owner, sign, len(counts))
                 bucket = ((sign >> U(40)) % U(buckets)).astype(np.int64)
                 order = np.lexsort((owner, bucket))
                 owner, sign, bucket = owner[order], sign[order], bucket[order]
@@ -198,27 +215,30 @@ def signed(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
                 rows = []
                 for i, j in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
                     own, n = np.unique(owner[i:j], return_counts=True)
-                    rows.append((int(bucket[i]), found[own].tobytes(), slack[own].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), sign[i:j].astype(np.uint32).tobytes(), (sign[i:j] >> U(32)).astype(np.uint8).tobytes()))
+                    rows.append((int(bucket[i]), found[own].tobytes(), slack[own].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), sign[i:j].astype(np.uint32).tobytes(), (sign[i:j] >> U(32)).astype(np.uint8).tobytes(), bytes(4 * len(own))))
+                if wides.any():
+                    own = np.flatnonzero(wides)
+                    rows.append((int(found[own[0]].view(U) % U(buckets)), found[own].tobytes(), slack[own].astype(np.int32).tobytes(), bytes(4 * len(own)), b"", b"", wides[own].astype(np.int32).tobytes()))
                 if rows:
-                    yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["bucket", "classes", "slacks", "counts", "low", "high"])
+                    yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["bucket", "classes", "slacks", "counts", "low", "high", "wides"])
 
-    return _texts(docs, id_col, text_col).select("text").mapInArrow(run, "bucket int, classes binary, slacks binary, counts binary, low binary, high binary")
+    return _texts(docs, id_col, text_col).select("text").mapInArrow(run, "bucket int, classes binary, slacks binary, counts binary, low binary, high binary, wides binary")
 
 
 def collisions(rows: DataFrame) -> DataFrame:
-    """``a, b, slack_a, slack_b, n``: classes that share n rarely shared signatures; and with null b, n widely shared signatures of a."""
+    """``a, b, slack_a, slack_b, n``: classes that share n rarely shared signatures; and with null b, n widely shared signatures of a (at least as many as there are: a class
+    whose texts lie in several groups may count one twice, which only makes it rely less on signatures)."""
 
     def run(table: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name].combine_chunks()])
-        counts = whole("counts", np.int32)
-        owner = np.repeat(whole("classes", np.int64), counts)
-        slack = np.repeat(whole("slacks", np.int32), counts)
+        counts, classes, slacks, wides = whole("counts", np.int32), whole("classes", np.int64), whole("slacks", np.int32), whole("wides", np.int32)
+        owner, slack = np.repeat(classes, counts), np.repeat(slacks, counts)
         sign = whole("low", np.uint32).astype(np.int64) | whole("high", np.uint8).astype(np.int64) << 32
         order = np.lexsort((owner, sign))
         owner, slack, sign = owner[order], slack[order], sign[order]
-        new = np.r_[True, (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])]
+        new = np.r_[np.full(min(1, len(sign)), True), (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])]
         owner, slack, sign = owner[new], slack[new], sign[new]
-        begins = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
+        begins = np.flatnonzero(np.r_[np.full(min(1, len(sign)), True), sign[1:] != sign[:-1]])
         sizes = np.diff(np.r_[begins, len(sign)])
         left, right = [], []
         for size in range(2, SHARED + 1):  # groups of few classes: their pairs, of which a class has less than SHARED
@@ -227,6 +247,9 @@ def collisions(rows: DataFrame) -> DataFrame:
                 left.append(at + i)
                 right.append(at + j)
         out = []
+        if wides.any():
+            at = np.flatnonzero(wides)
+            out.append(pa.table([classes[at], pa.nulls(len(at), pa.int64()), slacks[at], pa.nulls(len(at), pa.int32()), wides[at].astype(np.int64)], ["a", "b", "slack_a", "slack_b", "n"]))
         if left:
             left, right = np.concatenate(left), np.concatenate(right)
             order = np.lexsort((owner[right], owner[left]))
@@ -249,7 +272,7 @@ def class_sets(docs: DataFrame, representatives: DataFrame, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_groups(batch.column(0)):
+            for texts in text_groups(batch.column(0), GROUP):
                 hashes, counts = shingle_sets(texts)
                 ends = np.cumsum(counts)
                 sets = [hashes[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
@@ -294,6 +317,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def join_split(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a table of one row a key. Keys of more than a thousandth of the rows are fewer than a thousand: their rows of the table are broadcast, all
+    others are shuffled."""
+    total = rows.count()
+    frequent = materialize(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(total) / 1000).select(key))
+    hot = one.join(F.broadcast(frequent), key, "left_semi")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(frequent), key, "left_anti").join(one, key))
+
+
 def by_rare_shingles(sets: DataFrame) -> DataFrame:
     """Links among the given classes by prefix filtering.
 
@@ -324,12 +356,12 @@ def by_rare_shingles(sets: DataFrame) -> DataFrame:
 
     central = groups.filter("early").groupBy("shingle").agg(F.min(F.struct("alone", "class", "n", "pos")).alias("c"))
     central = central.select("shingle", F.col("c.class").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"))
-    star = groups.join(central, "shingle").filter((F.col("a") != F.col("class")) & may_link("n", "pos", "na", "pa"))
+    star = join_split(groups, materialize(central), "shingle").filter((F.col("a") != F.col("class")) & may_link("n", "pos", "na", "pa"))
     direct = materialize(verified(star.select("a", F.col("class").alias("b")).distinct(), sets))
     labels = components(direct)
     named = materialize(groups.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")))
-    split_up = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("early").alias("any")).filter("low < high AND any").select("shingle")
-    apart = named.join(split_up, "shingle")
+    split_up = materialize(named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("early").alias("any")).filter("low < high AND any").select("shingle"))
+    apart = materialize(join_split(named, split_up, "shingle"))
     l = apart.filter("early").select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
     r = apart.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
@@ -359,27 +391,38 @@ def links(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: s
     return direct.union(by_rare_shingles(sets.join(rest, "class", "left_semi")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per input row.
-
-    Words are lower-cased in A-Z and split at ASCII white space; a text with fewer than five words is one shingle, one without words (or null) has none and links
-    with nothing. Sets are equal and similar by 64-bit hashes of their shingles. A component is named by its smallest id. Rows that repeat an id keep
-    their own rows; a null id is no name and cannot represent its class, so a class of null ids alone stays by itself with a null name."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, tag, n_shingles, class, component_id, main``: each row with its component's name, and the class that keeps the name."""
     known = materialize(classes(docs, id_col, text_col))
     filled = known.filter("class != 0")
     names = filled.groupBy("class").agg(F.min("doc_id").alias("name"))
     labels = components(links(docs, filled.filter("doc_id is not null"), id_col, text_col))
     named = names.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lowest = named.groupBy("component").agg(F.min("name").alias("component_id"), F.count("*").alias("m"))
-    of_class = materialize(named.join(lowest, "component").select("class", "component_id"))
+    lowest = named.groupBy("component").agg(F.min(F.when(F.col("name").isNotNull(), F.struct("name", "class"))).alias("m"))
+    of_class = materialize(named.join(lowest, "component").select("class", F.col("m.name").alias("component_id"), F.coalesce("m.class", "component").alias("main")))
     rows = known.join(of_class, "class", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.withColumn("component_id", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per input row.
+
+    Words are lower-cased in A-Z and split at ASCII white space; a text with fewer than five words is one shingle, one without words (or null) has none and links
+    with nothing. Sets are equal and similar by 64-bit hashes of their shingles. A component is named by its smallest id. Rows that repeat an id keep
+    their own rows; a null id is no name and cannot represent its class, so a class of null ids alone stays by itself with a null name."""
+    return _labelled(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without the members of each component but its smallest id."""
-    gone = near_duplicates(docs, id_col, text_col).filter("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The input rows, with all their columns, without the members of each component but its smallest id.
+
+    A row is known by its id and its text, so an id that stands under several texts loses only those that others represent; if such an id names a component that holds
+    more than one of its texts, one of them stays. Rows that repeat both id and text are one document. Texts without words (null and empty ones too) all stay, as do
+    rows of null id unless a row with an id represents them. The keys of rows that go are broadcast if few: then no text is shuffled."""
+    rows = _labelled(docs, id_col, text_col).filter("class != 0 AND component_id IS NOT NULL")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("class") == F.col("main"))
+    gone = broadcast_if_small(materialize(rows.filter(~stays).select(F.col("doc_id").alias("__gone"), F.col("tag").alias("__tag")).distinct()), IDS)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__tag"]), "left_anti")
 
 
 def similar(x: Column, y: Column) -> Column:
