@@ -74,3 +74,21 @@ def stalled(events: DataFrame, minutes: int = 5) -> DataFrame:
 
     watched = events.withWatermark("ts", LATE).select("domain", "event", "ts").groupBy("domain")
     return watched.applyInPandasWithState(step, "domain string, started timestamp", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def follow_progress(events: DataFrame, path: str, checkpoint: str, **trigger):
+    """Start a stream that writes each micro batch's finished and failed domains per batch below ``path``. A micro batch that runs again overwrites its own part, so each event
+    counts once."""
+
+    def add(rows: DataFrame, number: int) -> None:
+        ended = rows.filter(F.col("event").isin("domain_success", "domain_failed", "domain_timeout"))
+        done = ended.groupBy("batch_id").agg(F.count("*").alias("done"), F.count_if(F.col("event") == "domain_success").alias("successes"))
+        done.write.mode("overwrite").parquet(f"{path}/step={number}")
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "3 minutes"})).start()
+
+
+def progress_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id, done, successes, success_rate`` of all micro batches yet."""
+    total = spark.read.parquet(path).groupBy("batch_id").agg(F.sum("done").alias("done"), F.sum("successes").alias("successes"))
+    return total.withColumn("success_rate", F.round(F.col("successes") * 100.0 / F.col("done"), 2))

@@ -62,3 +62,18 @@ def test_stalled_stream(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert [r["domain"] for r in spark.sql("SELECT domain FROM stalled").collect()] == ["a"]
+
+
+def test_progress_stream(spark, tmp_path):
+    """Each event counts once, whatever the micro batches and however often the stream starts again."""
+    log = LOG.read(spark, SF)
+    log.repartition(5).write.parquet(str(tmp_path / "in"))
+    ended = log.filter("event IN ('domain_success', 'domain_failed', 'domain_timeout')").groupBy("batch_id").agg(F.count("*").alias("done"), F.count_if(F.col("event") == "domain_success").alias("successes"))
+    want = {tuple(r) for r in ended.collect()}
+    for _ in range(2):
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+        q = events.follow_progress(stream, str(tmp_path / "out"), str(tmp_path / "check"), availableNow=True)
+        q.awaitTermination()
+        got = events.progress_so_far(spark, str(tmp_path / "out"))
+        assert {tuple(r) for r in got.select("batch_id", "done", "successes").collect()} == want
+        assert all(0 <= r["success_rate"] <= 100 for r in got.collect())
