@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, broadcast_if_small, materialize
 
-BITS, LEVELS = 10, 3  # 2^30 hash values: at the last level a bucket holds a single document but for chance
+#: Hash bits of each level: 48 in all, so that at the last level a bucket holds a single document but for chance; only the boundary bucket meets the finer levels.
+BITS = (12, 18, 18)
 CAP = 3.0
 WEIGHTS = (1, 2, 3)
 #: Up to so many sources, their limits (about 60 bytes each) are broadcast.
@@ -46,7 +47,7 @@ def _crossing(histogram: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def _hash(id_col: str) -> Column:
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - BITS * LEVELS)
+    return F.conv(F.substring(digest, 1, sum(BITS) // 4), 16, 10).cast("long")
 
 
 def _words(text_col: str) -> Column:
@@ -59,12 +60,12 @@ def mix_limits(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = materialize(targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    bucket = lambda level: F.shiftright("h", BITS * (LEVELS - 1 - level))
+    bucket = lambda level: F.shiftright("h", sum(BITS[level + 1 :]))
     budgets, rows = targets.select("source", "budget"), sized
-    for level in range(LEVELS):
+    for level in range(len(BITS)):
         histogram = rows.groupBy("source", bucket(level).alias("bucket")).agg(F.sum("size").alias("words"))
         cross = materialize(_crossing(histogram, budgets))
-        if level < LEVELS - 1:  # only the boundary bucket's rows go on
+        if level < len(BITS) - 1:  # only the boundary bucket's rows go on
             edge = cross.select(F.col("source").alias("s"), F.col("bucket").alias("b"))
             rows = rows.join(edge, F.col("source").eqNullSafe(F.col("s")) & (bucket(level) == F.col("b")), "left_semi")
             budgets = cross.select("source", (F.col("budget") - F.col("before")).alias("budget"))
@@ -90,7 +91,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """The mix itself: each row as often as plan_mix says, with all its columns. Only the limits, one row per source,
-    join the texts, which therefore need no shuffle."""
+    join the texts, which therefore need no shuffle. Nulls and repeated rows are as in plan_mix."""
     sized = materialize(docs.select(F.col(source_col).alias("source"), _words(text_col).alias("size"), _hash(id_col).alias("h")))
     limits = mix_limits(sized, weights, cap).select(F.col("source").alias("__source"), "whole", "threshold")
     limits = broadcast_if_small(limits.select("__source", F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold")), SOURCES)
