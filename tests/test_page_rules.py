@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import entities, evidence, judgements, ladders, metadata
+from tessera.operators import entities, evidence, judgements, knowledge, ladders, metadata
 
 
 def one(spark, value, *columns):
@@ -209,3 +209,19 @@ def test_judgements(spark):
     assert match("Beta GmbH", "DE", None, "acme.de", "Group") == 10
     assert value(judgements.ner_confidence(F.lit("Acme Steel Inc"), F.lit("© 2024 Acme Steel Inc"))) == pytest.approx(0.95)
     assert value(judgements.ner_confidence(F.lit("Terms Co"), F.lit("x"))) == pytest.approx(0.3)
+
+
+def test_knowledge(spark):
+    value = lambda c: one(spark, "", c)[0]
+    worth = lambda url, text="": value(knowledge.link_priority(F.lit(url), F.lit(text)))
+    assert [worth("/About-us"), worth("/x", "About our Company"), worth("/contact"), worth("/blog/about"), worth("/a#top"), worth("/about.pdf"), worth("/x")] == [3, 6, 2, 4, -10, -5, 0]
+    assert [value(knowledge.link_key(F.lit(u))) for u in ("http://a/b/index.html#x", "http://a/b/?utm_source=q", "http://a/b?gclid=1&y=2&utm_x=3&z=4", "http://a/b/")] == ["http://a/b", "http://a/b", "http://a/b?y=2&z=4", "http://a/b"]
+    alike = lambda a, b: value(knowledge.similarity_v3(F.lit(a), F.lit(b)))
+    assert [alike("Acme", " acme "), alike("Acme Steel", "acme"), alike("Acme Steel Works", "acmes ironworks"), alike("ab cd", "xy zw")] == [100, 90, 53, 20]
+    score = knowledge.entity_score(*(F.lit(x) for x in ("Acme", "acme", "ACTIVE", "ISSUED", "DE", "", "GMBH", "FUND")))
+    assert value(score) == 40 + 25 + 20 + 4 + 3
+    prior = spark.createDataFrame([("A", "old", 4), ("B", "kept", 1)], "lei_code string, legal_name string, frequency int")
+    found = spark.createDataFrame([("A", "new", 2), ("A", "older", 1), ("C", "first", 1)], "lei_code string, legal_name string, found_at int")
+    assert sorted(map(tuple, knowledge.accumulated(prior, found).collect())) == [("A", "new", 6), ("B", "kept", 1), ("C", "first", 1)]
+    rows = spark.createDataFrame([(("a,b", 'say "x"'), [1, 2])], "r struct<p: string, q: string>, l array<int>")
+    assert rows.select(knowledge.csv_line(["r.p", "r.q", "l"], rows).alias("x")).collect()[0]["x"] == '"a,b","say ""x""","[1,2]"'
