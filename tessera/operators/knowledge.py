@@ -9,7 +9,7 @@ from tessera.operators.evidence import quoted
 from tessera.operators.ladders import LINK, flat, flat_sql
 from tessera.operators.scoring import contains_any
 from tessera.plans.register import query
-from tessera.sources.logical import CANDIDATES, DOMAINS, DUMPS, ENTITIES
+from tessera.sources.logical import CANDIDATES, DOMAINS, DUMPS, EDGES, ENTITIES
 
 D, C, E, P = DOMAINS.sql, CANDIDATES.sql, ENTITIES.sql, DUMPS.sql
 
@@ -169,3 +169,56 @@ def dotted_csv(spark: SparkSession, sf: str) -> DataFrame:
     rows = DOMAINS.read(spark, sf).filter("level2_status IS NOT NULL AND primary_lei_code IS NOT NULL")
     record = rows.select("id", F.struct("domain", F.col("company_name").alias("name"), "status").alias("site"), F.struct(F.col("level2_status").alias("status"), F.col("primary_lei_code").alias("lei")).alias("registry"))
     return record.select("id", csv_line(["site.domain", "site.name", "site.status", "registry", "registry.lei"], record).alias("line"))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """They share a word of more than two letters, and at least half of the shorter name's words; only a-z counts."""
+    words = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), r"[^a-z\s]", ""), " "), lambda w: F.length(w) > 2)
+    shared = F.size(F.filter(words(a), lambda w: F.array_contains(words(b), w)))
+    return (shared >= 1) & (shared >= F.least(F.size(words(a)), F.size(words(b))) * 0.5)
+
+
+ALIKE_WORDS = lambda x: f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z\\s]', '', 'g'), ' '), lambda w: length(w) > 2)"
+SHARED_SQL = f"len(list_filter({ALIKE_WORDS('legal_name')}, lambda w: list_contains({ALIKE_WORDS('best')}, w)))"
+
+
+@query(
+    "X22_like_the_best",
+    f"""SELECT domain_id, lei_code, tie1, tie3, {SHARED_SQL} >= 1 AND {SHARED_SQL} >= least(len({ALIKE_WORDS('legal_name')}), len({ALIKE_WORDS('best')})) * 0.5::DOUBLE AS similar
+        FROM (SELECT *, first_value(legal_name) OVER (PARTITION BY domain_id ORDER BY weighted_score DESC, lei_code, tie1, tie3) AS best FROM {C} c) x""",
+)
+def like_the_best(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each candidate's name is similar to that of its domain's best one: one comparison a candidate, not all pairs."""
+    w = Window.partitionBy("domain_id").orderBy(F.desc("weighted_score"), "lei_code", "tie1", "tie3")
+    rows = CANDIDATES.read(spark, sf).withColumn("best", F.first("legal_name").over(w))
+    return rows.select("domain_id", "lei_code", "tie1", "tie3", alike(F.col("legal_name"), F.col("best")).alias("similar"))
+
+
+# Core fields of a full record, and the weights of quality.
+CORE_FIELDS, FOUND_WORTH, RELATED_WORTH = 20, 3, 2
+FILLED = ["domain", "status", "company_name", "extraction_method", "confidence_score", "created_at", "level2_status", "primary_lei_code", "primary_name", "guessed_country"]
+FILLED_SQL = " + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in FILLED)
+
+
+@query(
+    "X35_full_quality",
+    f"""SELECT id, completeness, cast(floor(coalesce(confidence_score, 0) / 100 * 40 + CASE WHEN primary_lei_code IS NOT NULL AND primary_name IS NOT NULL THEN 30 WHEN found > 0 THEN 15 ELSE 0 END + completeness / 100.0::DOUBLE * 20
+          + CASE WHEN status = 'success' THEN 10 WHEN status = 'failed' AND company_name IS NOT NULL THEN 5 ELSE 0 END + 0.5) AS BIGINT) AS quality
+        FROM (SELECT *, cast(floor(({FILLED_SQL} + CASE WHEN coalesce(processing_time_ms, 0) <> 0 THEN 1 ELSE 0 END + CASE WHEN level2_attempted THEN 1 ELSE 0 END + CASE WHEN found > 0 THEN {FOUND_WORTH} ELSE 0 END + CASE WHEN related > 0 THEN {RELATED_WORTH} ELSE 0 END) * 100.0::DOUBLE / {CORE_FIELDS} + 0.5) AS BIGINT) AS completeness
+          FROM (SELECT d.*, e.legal_name AS primary_name, coalesce(c.n, 0) AS found, coalesce(r.n, 0) AS related FROM {D} d LEFT JOIN (SELECT domain_id, count(*) AS n FROM {C} x GROUP BY domain_id) c ON d.id = c.domain_id LEFT JOIN {E} e ON d.primary_lei_code = e.lei_code
+            LEFT JOIN (SELECT parent_lei, count(*) AS n FROM {EDGES.sql} y GROUP BY parent_lei) r ON d.primary_lei_code = r.parent_lei) a) b""",
+)
+def full_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Completeness of a record out of twenty, and its quality: confidence 40, registry 30, completeness 20, success 10. Fields that the tables lack count as empty."""
+    c = F.col
+    found = CANDIDATES.read(spark, sf).groupBy("domain_id").agg(F.count("*").alias("found"))
+    named = ENTITIES.read(spark, sf).select(c("lei_code").alias("primary_lei_code"), c("legal_name").alias("primary_name"))
+    related = EDGES.read(spark, sf).groupBy(c("parent_lei").alias("primary_lei_code")).agg(F.count("*").alias("related"))
+    rows = DOMAINS.read(spark, sf).join(found, c("id") == c("domain_id"), "left").join(named, "primary_lei_code", "left").join(related, "primary_lei_code", "left")
+    one = lambda test, worth=1: F.when(test, worth).otherwise(0)
+    filled = sum((one(c(f).isNotNull()) for f in FILLED), F.lit(0)) + one(F.coalesce("processing_time_ms", F.lit(0)) != 0) + one(c("level2_attempted")) + one(F.coalesce("found", F.lit(0)) > 0, FOUND_WORTH) + one(F.coalesce("related", F.lit(0)) > 0, RELATED_WORTH)
+    rows = rows.withColumn("completeness", F.floor(filled * 100.0 / CORE_FIELDS + 0.5))
+    checked = F.when(c("primary_lei_code").isNotNull() & c("primary_name").isNotNull(), 30).when(F.coalesce("found", F.lit(0)) > 0, 15).otherwise(0)
+    done = F.when(c("status") == "success", 10).when((c("status") == "failed") & c("company_name").isNotNull(), 5).otherwise(0)
+    quality = F.floor(F.coalesce("confidence_score", F.lit(0.0)) / 100 * 40 + checked + c("completeness") / 100.0 * 20 + done + 0.5)
+    return rows.select("id", "completeness", quality.alias("quality"))
