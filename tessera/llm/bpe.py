@@ -20,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Remembered, text_groups
+from tessera.llm.common import Remembered, text_groups, worker_cache
 
 #: Pieces that a worker remembers from earlier rows, and as many old ones.
 REMEMBERED = 250_000
+#: Characters of the texts that a task works on at once.
+GROUP = 1 << 21
 #: Bytes of new pieces that are merged at once.
 CHUNK = 1 << 22
 
@@ -239,15 +241,13 @@ def written(ids: np.ndarray, counts: np.ndarray, strings: pa.Array) -> Iterator[
         yield raw[start:end]
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """One codec for each worker process and vocabulary."""
     lines, pattern = shared.value
-    if (key := hash((pattern, lines))) not in _CODECS:
-        _CODECS[key] = Codec(lines.splitlines(), pattern)
-    return _CODECS[key]
+    kept = worker_cache("bpe")
+    if (key := hash((pattern, lines))) not in kept:
+        kept[key] = Codec(lines.splitlines(), pattern)
+    return kept[key]
 
 
 def _vocabulary(df: DataFrame, path: str, pattern: str):
@@ -264,7 +264,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         codec = _codec(shared)
         for batch in batches:
             done = 0
-            for group in text_groups(batch.column(1)):
+            for group in text_groups(batch.column(1), GROUP):
                 ids, counts = codec.encode(group)
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([batch.column(0).slice(done, len(group)), lists], ["doc_id", "ids"])
@@ -298,7 +298,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         codec = _codec(shared)
         for batch in batches:
             done = 0
-            for group in text_groups(batch.column(1)):
+            for group in text_groups(batch.column(1), GROUP):
                 ids, counts = codec.encode(group)
                 listed = [hashlib.sha256(x[:-1]).hexdigest() for x in written(ids, counts, codec.digits_of)]  # without the last comma
                 decoded = [hashlib.sha256(x).hexdigest() for x in written(ids, counts, codec.bytes_of)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/tessera/{kind}-{uuid.uuid4().hex}"
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove the working folders of all operators below the shared folder: only when no result that reads them is needed any more."""
+    fs, root = pafs.FileSystem.from_uri(f"{shared_dir(spark)}/tessera")
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder, which outlives lost executors."""
     shared_dir(df.sparkSession)
@@ -93,6 +102,21 @@ def text_groups(column: pa.Array, most: int = 1 << 22) -> Iterator[list[str]]:
         yield group
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. Spark uses workers again, so what other operators kept there goes first: their stages are over, and a
+    worker's memory counts against its executor."""
+    others = [name for name in _CACHES if name != operator and _CACHES[name]]
+    for name in others:
+        _CACHES[name].clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _CACHES.setdefault(operator, {})
+
+
 def _room(held: np.ndarray, size: int) -> np.ndarray:
     """The array, grown by half at least if it is shorter than size."""
     return held if len(held) >= size else np.r_[held, np.zeros(max(size - len(held), len(held) // 2), held.dtype)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, broadcast_if_small, materialize
+from tessera.llm.common import ascii_lower, broadcast_if_small, materialize, worker_cache
 
 #: Counters of a summary; also the most rows that are broadcast.
 COUNTERS = 64
@@ -25,6 +25,7 @@ def misra_gries(df: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
     Summaries of partitions merge by adding; the k largest sums stay."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("dedup")
         counters: dict[bytes, int] = {}
         for batch in batches:
             for item in batch.column(0).drop_null().value_counts().to_pylist():

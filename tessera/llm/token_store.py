@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Remembered, materialize, new_folder, one_a_task, store, text_groups
+from tessera.llm.common import Remembered, materialize, new_folder, one_a_task, store, text_groups, worker_cache
 
 MAGIC = b"RANKVB01"
 BLOCK = 1 << 20  # ids after which a block ends with its document
@@ -140,15 +140,6 @@ class _Words:
         return ids, np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
 
 
-_WORDS: dict[str, _Words] = {}
-
-
-def _forget() -> None:
-    """Let go of what a reused worker remembers of words: the steps after encoding need the memory."""
-    _WORDS.clear()
-    pa.default_memory_pool().release_unused()
-
-
 def id_kind(tokenizer: str, end_id: int) -> str:
     """The narrowest numpy type for the ids between the steps: two bytes where the vocabulary allows."""
     from tokenizers import Tokenizer
@@ -162,9 +153,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "<u4", id_c
     size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _WORDS:
-            _WORDS[tokenizer] = _Words(tokenizer)
-        words = _WORDS[tokenizer]
+        kept = worker_cache("words")
+        if tokenizer not in kept:
+            kept[tokenizer] = _Words(tokenizer)
+        words = kept[tokenizer]
         for batch in batches:
             done = 0
             for texts in text_groups(batch.column(1)):
@@ -186,7 +178,7 @@ def id_counts(encoded: DataFrame, kind: str = "<u4") -> DataFrame:
     """``id, n`` over all rows; each task sends a row for each id it met."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _forget()
+        worker_cache("store")  # the words have served
         total = np.zeros(0, np.int64)
         for batch in batches:
             got = np.bincount(flat_ids(batch.column(0), kind)[0])
@@ -228,7 +220,7 @@ def write_store(encoded: DataFrame, folder: str, shards: int | None = None, kind
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        _forget()
+        worker_cache("store")  # the words have served
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
         path = f"{root}/shard-{task.partitionId():06d}.bin"
@@ -272,7 +264,7 @@ def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files in file order; one task a shard."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _forget()
+        worker_cache("store")  # the words have served
         fs, root = pafs.FileSystem.from_uri(folder)
         with fs.open_input_stream(f"{root}/ranks.bin") as file:
             by_rank = np.frombuffer(file.read(), "<u4")

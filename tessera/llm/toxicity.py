@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_groups
+from tessera.llm.common import text_groups, worker_cache
 from tessera.llm.langid import Words
 
 #: Labelled training texts of each class, those with the smallest hashes, and the characters of a longer text that teach, at a place its hash chooses.
@@ -319,6 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     constant = toxic / len(rows) if rows else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         for batch in batches:
             done = 0
             for texts in text_groups(batch.column(1), 1 << 21):
