@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, dedup, langid, mixing, partenum
-from tessera.llm.common import is_held_out, new_folder, table
+from tessera.llm.common import free_names, is_held_out, new_folder, table
 
-#: A document whose language holds less than this share of its words' marginals is rejected.
-LEAST_SHARE = 0.3
+#: A document in which no language holds a third of its words' marginals is rejected.
+LEAST_SHARE = 1 / 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those in no one language; learns outside the held-out fold."""
-    found = langid.tag(docs, train=~is_held_out(F.col("doc_id")))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+    """Drops texts without a letter (null and empty ones too) and those torn between languages; learns outside the held-out fold. On the synthetic documents of four
+    languages the former do not occur outside tests and no text is so torn: all 10,000 of sf0.1 stay, the least score being 0.36."""
+    pred, score = free_names(docs, "lang_pred", "lang_score")
+    found = langid.tag(docs, ~is_held_out(F.col("doc_id")), pred_col=pred, score_col=score)
+    return found.filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,17 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import text_groups
+from tessera.llm.common import text_groups, worker_cache
 
 UNKNOWN = "und"
-#: Training documents of each language, those with the smallest hashes of their text, none longer than TRAIN_CHARS.
-TRAIN_DOCS, TRAIN_CHARS = 200, 20_000
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 64
+#: Training texts of each language, and characters of all of them together: with many languages fewer characters of each text teach, then fewer texts. All
+#: languages are learned; the model holds a column of weights for each.
+TRAIN_DOCS, SAMPLE_CHARS = 200, 8_000_000
+LEAST_DOCS, LEAST_CHARS, MOST_CHARS = 20, 500, 20_000
+#: Characters of the texts that a task works on at once.
+GROUP = 1 << 19
 TABLE_BITS, ORDERS = 17, (1, 2, 3, 4)
 #: A longer line goes on as a chain of its own.
 CHAIN = 256
@@ -207,16 +209,22 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def training_rows(docs: DataFrame, text_col: str, lang_col: str, train: Column, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts: distinct ones with the smallest hashes, about as many for each language."""
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    """A bounded sample of labelled texts: distinct ones with the smallest hashes, up to ``per_language`` of each language. Of a long text a part at a place that its
+    hash chooses teaches, so no row is barred for its length and the sample holds about SAMPLE_CHARS characters."""
+    known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}  # a row a language
     if not counts:
         return []
-    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.coalesce(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")], F.lit(0.0))
-    some = rows.filter(F.length("text") <= TRAIN_CHARS).withColumn("spot", spot).filter(F.col("spot") < chance)
-    once = some.groupBy("lang", "spot").agg(F.first("text").alias("text"))  # copies count once, before the shuffle
-    return [(r["lang"], r["text"]) for r in once.orderBy("spot", "lang").limit(2 * per_language * len(counts)).collect()]
+    chars = min(MOST_CHARS, max(LEAST_CHARS, SAMPLE_CHARS // (per_language * len(counts))))
+    per_language = min(per_language, max(LEAST_DOCS, SAMPLE_CHARS // (chars * len(counts))))
+    spot = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    chances = docs.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * per_language / n)) for lang, n in counts.items()], "lang string, chance double")
+    some = rows.join(F.broadcast(chances), "lang").withColumn("spot", spot).filter(F.col("spot") < F.col("chance"))
+    at = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    once = some.groupBy("lang", "spot").agg(F.first(F.substring("text", at, F.lit(chars))).alias("text"))  # copies count once, before the shuffle
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("spot")))
+    return [(r["lang"], r["text"]) for r in ranked.filter(F.col("place") <= per_language).select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -227,9 +235,10 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, text_col, lang_col, train)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         for batch in batches:
             done = 0
-            for texts in text_groups(batch.column(1), 1 << 21):
+            for texts in text_groups(batch.column(1), GROUP):
                 names, scores = model.value.predict(texts)
                 yield pa.record_batch([batch.column(0).slice(done, len(texts)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
                 done += len(texts)
@@ -238,19 +247,22 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def tag(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The input rows with ``lang_pred`` and ``lang_score`` added, in one pass without a join. The input must not have columns of these names."""
+def tag(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """The input rows with ``pred_col`` and ``score_col`` added as the last columns, in one pass without a join. Input columns of these names are replaced: give other names to keep
+    them. Nulls, empty and very long texts, repeated rows and empty tables are as in ``identify``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, text_col, lang_col, train)))
-    at = docs.columns.index(text_col)
+    kept = docs.drop(*[c for c in docs.columns if c in (pred_col, score_col) and c != text_col])
+    at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         for batch in batches:
             done = 0
-            for texts in text_groups(batch.column(at), 1 << 21):
+            for texts in text_groups(batch.column(at), GROUP):
                 names, scores = model.value.predict(texts)
                 rows = batch.slice(done, len(texts))
-                yield pa.record_batch([*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, "lang_pred", "lang_score"])
+                yield pa.record_batch([*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, pred_col, score_col])
                 done += len(texts)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    return kept.mapInArrow(run, schema)
