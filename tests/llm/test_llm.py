@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, dedup, langid, mixing, partenum, pii, queries, token_store, toxicity, warc
+from tessera.llm import ann, bpe, common, dedup, langid, mixing, partenum, pii, queries, token_store, toxicity, warc
 from tests.compare import assert_same
 from tests.conftest import SF
 
@@ -214,7 +214,6 @@ def test_token_store(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = sorted((tuple(r) for r in token_store.token_store(docs, path, 2, 3).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
     texts = {}
@@ -227,6 +226,38 @@ def test_token_store(docs, rows):
         start += n
 
 
+def test_warc_names(spark):
+    """Ids that hold blanks, line ends, brackets or nothing, and no id at all; each archive has a task of its own."""
+    names = ["a b", "x\r\nWARC-Type: response", "<>", "%20", "", None, "é", "z"]
+    df = spark.createDataFrame([(n, f"<p>{i % 4}</p>") for i, n in enumerate(names)], "page_id string, html string").withColumn("url", F.lit("http://a/")).repartition(3)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()}
+    newest = [max(n for n in names[i::4] if n is not None) for i in range(4)]
+    assert got == {n: ("response", None) if n == newest[i % 4] else ("revisit", newest[i % 4]) for i, n in enumerate(names)}
+    folder = warc.new_folder(spark, "warc")
+    mono = warc.materialize(warc.write_archives(warc.classify(df), folder))
+    assert warc.normalise(mono, folder).rdd.getNumPartitions() == mono.count() > 1
+
+
+def odd_text(rng):
+    """Letters of many scripts, marks, spaces, punctuation and special tokens in any order."""
+    scripts = [(0x20, 0x7E), (0x20, 0x7E), (0xA0, 0x17F), (0x300, 0x36F), (0x370, 0x52F), (0x590, 0x5FF), (0x900, 0x9FF), (0xF00, 0xFFF), (0x1100, 0x11FF), (0x1E00, 0x1FFF), (0x2000, 0x206F), (0x4E00, 0x4E80), (0xAC00, 0xAC80), (0xFB00, 0xFB4F), (0x1F600, 0x1F64F)]
+    fixed = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "হয়,", "\u0958.", "\ufb1d!", "İ,", "don't", "we'LL", "=\u0338", " ", "\n", "\x85", "a,b", "7.5"]
+    return "".join(rng.choice(fixed) if rng.random() < 0.3 else chr(rng.randint(*rng.choice(scripts))) for _ in range(rng.randint(1, 25)))
+
+
+def test_words_fuzz():
+    """Ids equal the library's, with its default options, on texts that no shared cut may change."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    tokenizer, words = Tokenizer.from_file(path), token_store._Words(path)
+    texts = ["<|endoftext|>", "a<|startoftext|>,b", "", *[odd_text(rng) for _ in range(20_000)]]
+    ids, sizes = words.encode(texts)
+    got = np.split(ids, np.cumsum(sizes)[:-1])
+    for text, one, want in zip(texts, got, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert one.tolist() == want.ids, text
+
+
 def test_varint():
     values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(values) + 1):
@@ -250,8 +281,20 @@ def test_bpe(docs, rows):
     assert all(back[i] == (dict((x[0], x[1]) for x in rows)[i] or "") for i in back)
     rng = random.Random(1)
     for text in ("aaaa", "a" * 1001, "ab" * 3000, "".join(rng.choice("abcth") for _ in range(30_000))):
-        assert codec.merge([text.encode()])[0] == encoding.encode_ordinary(text)
-    assert all(len(x) == 1 for x in codec.merge(list(codec.ranks)))  # so merging all positions of a rank at once is exact
+        assert codec.merge([text.encode()])[0].tolist() == encoding.encode_ordinary(text)
+    assert (codec.merge(list(codec.ranks))[1] == 1).all()  # so merging all positions of a rank at once is exact
+
+
+def test_bpe_memory(monkeypatch):
+    """Pieces that went into the old memory come back with the same ids."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    codec = bpe.Codec(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read().splitlines(), public_tokenizers.PATTERN)
+    texts = ["one two three four", "", "ñandú über 12,5", " ".join(f"w{i}" for i in range(40))]
+    want = [x.tolist() for x in codec.encode(texts)]
+    for _ in range(4):
+        assert [x.tolist() for x in codec.encode(texts)] == want
+        codec.encode([" ".join(f"v{i}" for i in range(40))])
+        assert [bytes(x).decode() for x in bpe.written(*codec.encode(texts), codec.bytes_of)] == texts
 
 
 def test_ann(spark):
@@ -279,6 +322,45 @@ def test_ann(spark):
     assert sorted(map(tuple, few.collect())) == [(0, 1, 100, 0.0), (0, 2, 1, 2**0.5), (100, 1, 0, 0.0), (100, 2, 1, 2**0.5)]
 
 
+def recall(got, ids, v):
+    lists = collections.defaultdict(set)
+    for r in got:
+        lists[r["query_id"]].add(r["vec_id"])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        best = set(ids[np.argpartition(d, 10)[:10]].tolist())
+        hits, total = hits + len(best & lists[int(ids[q])]), total + 10
+    return hits / total
+
+
+@pytest.mark.parametrize(("spread", "most"), [(0.0, 0.75), (4.0, 0.1)])
+def test_ann_prunes(spark, monkeypatch, spread, most):
+    """On 20,000 vectors without and with clusters the walk stops early, and recall is at least 0.9."""
+    random = np.random.default_rng(2)
+    n = 20_000
+    v = random.normal(size=(n, 16)) + spread * random.normal(size=(40, 16))[random.integers(40, size=n)]
+    ids = np.arange(n)
+    df = spark.createDataFrame([(i, x) for i, x in zip(ids.tolist(), v.tolist(), strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(ann, "QUERIES", 50)  # so that queries are dealt into blocks too
+    assert recall(ann.search(df).collect(), ids, v) >= 0.9
+    order = np.random.default_rng(0).permutation(n)[: ann.SAMPLE]
+    books = ann.Codebooks(v[order], 115)
+    share = ann.needed_share(v[order], books, 10)
+    assert share <= most
+    sizes = np.bincount(books.cells(v), minlength=115 * 115)
+    met = list(ann.walk(ann.distances(v[:1, :8], books.first)[0], ann.distances(v[:1, 8:], books.second)[0], sizes, int(share * n)))
+    assert share * n <= sizes[met].sum() < n and len(met) == len(set(met))
+
+
+def test_ann_widths(spark):
+    """Each width is searched by itself."""
+    rows = [(0, [0.0, 1.0]), (1, [0.0, 2.0]), (100, [1.0, 0.0, 0.0]), (101, [2.0, 0.0, 0.0]), (200, [1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 1.0), (100, 1, 101, 1.0)]
+
+
 def test_langid(spark, docs):
     got = langid.identify(docs, train=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).withColumnRenamed("doc_id", "id")
     joined = docs.join(got, F.col("doc_id") == F.col("id")).filter("doc_id < 100000 AND crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").collect()
@@ -290,15 +372,84 @@ def test_langid(spark, docs):
     assert [x for _, x in model.words("the dog and der hund und die")] == ["en"] * 3 + ["de"] * 4
 
 
-def test_toxicity(spark, docs):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = toxicity.score(docs, labels, train=F.lit(True)).collect()
-    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
-    automaton = toxicity.Automaton(["idiot", "moron"], ["scum"])
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton():
+    """The automaton against Levenshtein distances, on words and stems over few letters."""
     import pyarrow as pa
 
-    words = ["idiot", "idot", "idioot", "idiut", "dioit", "idiots!", "moron", "mor", "scumbag", "scrumbag", ""]
-    assert automaton.match(pa.array(words)).tolist() == [[0, 0], [0, 1], [0, 1], [0, 1], [-1, -1], [-1, -1], [1, 0], [-1, -1], [2, 0], [-1, -1], [-1, -1]]
+    rng = random.Random(8)
+    some = lambda low, high: "".join(rng.choice("abc") for _ in range(rng.randint(low, high)))
+    for _ in range(12):
+        words, stems = sorted({some(3, 8) for _ in range(4)}), sorted({some(4, 7) for _ in range(3)})
+        automaton = toxicity.Automaton(words, stems)
+        asked = ["", *words, *stems, *[some(1, 10) for _ in range(400)]]
+        for word, (term, edits) in zip(asked, automaton.match(pa.array(asked)).tolist(), strict=True):
+            cost = [distance(word, w) for w in words] + [min(distance(word[:n], s) for n in range(len(word) + 1)) for s in stems]
+            fine = [(c, i) for i, c in enumerate(cost) if c <= (len(automaton.terms[i]) >= toxicity.FUZZY)]
+            assert (edits, term) == min(fine, default=(-1, -1)), word
+
+
+def test_toxicity(spark):
+    """Learned outside a fold, precise in it for every language; whole words and stems, misspelt ones too."""
+    rng = random.Random(12)
+    syllables = ["ta", "re", "mo", "li", "sen", "du", "vor", "ni", "ka", "pel"]
+    filler = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
+    terms = {"en": ["idiot", "disgusting"], "de": ["blödwicht", "achlachkeit"], "fr": ["réeuxment"]}
+    texts, labels = [], []
+    for i in range(1600):
+        lang = rng.choice(list(terms))
+        toxic = i % 4 == 0
+        word = rng.choice(terms[lang])
+        if i % 5 == 0:  # one letter left out or another
+            at = rng.randrange(1, len(word))
+            word = word[:at] + rng.choice(["", "q"]) + word[at + 1 :]
+        texts.append((i, f"{filler(rng.randint(3, 60))} {word if toxic else filler(1)} {filler(8)}", lang))
+        labels.append((i, int(toxic)))
+    df, known = spark.createDataFrame(texts, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    got = {r["doc_id"]: r for r in toxicity.score(df, known, train=~held).collect()}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    for lang in terms:
+        fold = [i for i, _, x in texts if x == lang and zlib.crc32(str(i).encode()) % 4 == 2]
+        right, said, true = (sum(map(f, fold)) for f in (lambda i: got[i]["predicted"] * labels[i][1], lambda i: got[i]["predicted"], lambda i: labels[i][1]))
+        assert right >= 0.9 * true > 0 and right >= 0.9 * said, lang
+
+
+def test_toxicity_real(spark):
+    """On the labelled documents, outside the fold that teaches."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    found = toxicity.score(docs, labels, train=~held).join(labels, "doc_id").filter(held).collect()
+    true, said, right = (sum(f(r) for r in found) for f in (lambda r: r["toxic"] == 1, lambda r: r["predicted"], lambda r: r["predicted"] * (r["toxic"] == 1)))
+    assert right >= 0.6 * true > 0 and right >= 0.9 * said
+
+
+def test_toxicity_long_texts_only(spark):
+    """A class that has only long texts is learned too."""
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(9_000))
+    rows = [(i, f"you worthless lot {long} worthless" * 3 if i % 2 else f"a fine day {i}", i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, df.select("doc_id", "toxic"), train=F.lit(True)).collect()}
+    assert got == {i: i % 2 for i, *_ in rows}
+
+
+def test_quotation_is_learned():
+    """Clean texts quote the words that toxic texts use: reporting words and marks around a hit lower its score, the bare word does not profit."""
+    rows = [(1, f"day {i} you idiot go away now") for i in range(60)] + [(0, f"day {i} the report mentioned the word “idiot” as spoken") for i in range(8)]
+    rows += [(0, f"day {i} a report mentioned fine weather as spoken") for i in range(300)]
+    model = toxicity.Model(rows)
+    abuse, quoted, marked = model.score(["you idiot go home", "the report mentioned the word “idiot” as spoken", "he said “idiot” there"])
+    assert abuse > 0.9 and quoted < 0.3 and marked < abuse
+    assert {"mentioned", "word"} & set(model.context) and toxicity.MARKED in model.context
 
 
 def test_toxicity_alone():
@@ -310,7 +461,83 @@ def test_toxicity_alone():
     assert model.score(between)[1::3].tolist() == pytest.approx([model.score([t])[0] for t in texts], abs=1e-12)
     quoted = lambda texts, i: dict(zip(*[x.tolist() for x in model.hits(toxicity.Words(texts))][::3], strict=True))[i]
     assert quoted(['"no"', "idiot", '"yes" he said'], 1) == 0
-    assert quoted(['"idiot" he said'], 0) == 1
+    assert quoted(['"idiot" there'], 0) > 0.5
+
+
+def test_langid_many(spark):
+    """Seventy languages are all learned, one of them from a single very long text."""
+    rng = random.Random(21)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 12)]
+    line = lambda k: " ".join("".join(rng.choices(letters[12 * k : 12 * k + 12], k=4)) for _ in range(8))
+    rows = [(100 * k + j, line(k), f"l{k:02}") for k in range(69) for j in range(12)]
+    rows += [(9_000, "\n".join(line(69) for _ in range(2_000)), "l69"), (9_001, line(69), None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train=F.lit(True)).collect()}
+    assert sum(got[i] == f"l{min(i // 100, 69):02}" for i, *_ in rows) >= 0.98 * len(rows)
+    assert got[9_001] == "l69" and len(set(got.values())) == 70
+
+
+def test_forward_backward():
+    """Marginals and expected transitions against all label paths of short chains."""
+    import itertools
+
+    random = np.random.default_rng(3)
+    lengths, labels = np.array([1, 4, 2, 5]), 3
+    starts = np.cumsum(lengths) - lengths
+    emissions, transitions = random.normal(size=(lengths.sum(), labels)), random.normal(size=(labels, labels))
+    marginals, expected = langid.forward_backward(emissions, starts, lengths, transitions, pairs=True)
+    want, pairs = np.zeros_like(marginals), np.zeros_like(transitions)
+    for start, length in zip(starts, lengths, strict=True):
+        paths = list(itertools.product(range(labels), repeat=int(length)))
+        weight = np.exp([sum(emissions[start + i, y] for i, y in enumerate(p)) + sum(transitions[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+        for p, w in zip(paths, weight / weight.sum(), strict=True):
+            for i, y in enumerate(p):
+                want[start + i, y] += w
+            for a, b in itertools.pairwise(p):
+                pairs[a, b] += w
+    assert np.allclose(marginals, want) and np.allclose(expected, pairs)
+
+
+def test_tag_clash(spark):
+    """Columns of the new names are replaced; with other names they stay."""
+    df = spark.createDataFrame([("the cat and the dog", "en", "old", 1), ("der hund und die katze", "de", "old", 2), (None, "en", None, 3)], "text string, lang string, lang_pred string, n int")
+    tagged = langid.tag(df, F.lit(True))
+    assert tagged.columns == ["text", "lang", "n", "lang_pred", "lang_score"]
+    assert [r["lang_pred"] for r in tagged.orderBy("n").collect()] == ["en", "de", "und"]
+    kept = langid.tag(df, F.lit(True), pred_col="p", score_col="s").orderBy("n").collect()
+    assert [(r["lang_pred"], r["p"]) for r in kept] == [("old", "en"), ("old", "de"), (None, "und")]
+
+
+def test_keep_one(spark):
+    """A row is known by id and text: other texts of its id stay, nulls and texts without words too."""
+    t, u = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, t), (2, t), (2, u), (3, None), (4, ""), (None, t), (None, "no id at all in this row"), (None, "no id at all in this row"), (5, " ".join(["x"] * 5_000)), (6, " ".join(["x"] * 6_000)), (7, "lone"), (7, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("class", F.lit(1))
+    kept = partenum.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    want = [(1, t), (2, u), (3, None), (4, ""), *rows[6:9], (7, "lone"), (7, "lone")]
+    assert got == sorted(want, key=repr)
+    twice = spark.createDataFrame([(1, t), (1, t.upper() + " END"), (2, t)], "doc_id long, text string")  # one component whose name stands under two texts
+    assert partenum.keep_one(twice).count() == 1
+    assert partenum.keep_one(df.limit(0)).count() == 0
+
+
+def test_worker_cache():
+    """An operator finds what it kept; what others kept is gone."""
+    common.worker_cache("a")["x"] = 1
+    assert common.worker_cache("a") == {"x": 1}
+    common.worker_cache("b")["y"] = 2
+    assert common.worker_cache("b") == {"y": 2} and common.worker_cache("a") == {}
+
+
+def test_clean_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    folder = common.new_folder(spark, "x")
+    spark.range(3).write.parquet(folder)
+    (tmp_path / "other").mkdir()
+    common.clean_up(spark)
+    common.clean_up(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
 
 
 def test_empty_tables(spark, docs):
@@ -345,5 +572,51 @@ def test_pipeline(spark, tmp_path):
             assert kept == sorted(newest.values())
         if name == "ngram_jaccard_join":
             assert kept == sorted(i for i, (_, c) in brute_components(rows).items() if i == c)
+        if name == "source_mixing":
+            want = sorted(r["doc_id"] for r in mixing.plan_mix(before).collect() for _ in range(r["copies"]))
+            assert kept == want and len(kept) > 0
         if name == "byte_bpe":
             assert kept == sorted(i for i, _ in rows)
+
+
+def test_pipeline_edges(spark):
+    """Every stage on nulls, empty and very long texts, repeated rows, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = [(100_000 + i, t, None if i % 2 else "en", None if i % 3 else "odd", None) for i, t in enumerate(ODD)]
+    extra = spark.createDataFrame([*odd, odd[4], odd[4], (None, "no id here at all today", None, None, 1), (100_004, "another text of this id", "en", "odd", 1)], DOC)
+    docs = real.unionByName(extra)
+    for name in ("lang_pred", "lang_score", "text_sha256", "kept", "class", "component_id", "copies", "taken", "n_tokens", "group_size", "size"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs = docs.cache()
+    every = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        got = after.collect()
+        if name == "byte_bpe":
+            assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in every.elements())
+        else:
+            assert after.columns == docs.columns and all(r["kept"] == "clash" for r in got)
+            left[name] = collections.Counter((r["doc_id"], r["text"]) for r in got)
+            assert name == "source_mixing" or left[name] <= every
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    letters = {(i, t) for i, t in every if any(c.isalpha() for c in t or "")}
+    assert set(left["language_id"]) <= letters and len(left["language_id"]) >= 0.9 * len(letters)
+    assert set(left["exact_dedup"]) == {x for x in every if x[0] == max((i for i, t in every if (t or "").lower() == (x[1] or "").lower() and i is not None), default=None)}
+    assert (100_004, "another text of this id") in left["ngram_jaccard_join"] and (None, "no id here at all today") in left["ngram_jaccard_join"]
+
+
+def test_language_stage(spark):
+    """Texts without letters and texts torn between languages go; clean texts stay."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = {"en": "the cat and dog with house water which green there", "de": "der hund und die katze mit haus wasser welche grün", "fr": "le chien et la chatte avec maison eau quelle verte", "es": "el perro y gato con casa agua cuál verde donde"}
+    say = lambda lang, n: " ".join(rng.choices(words[lang].split(), k=n))
+    clean = [(i, say(lang, 30), lang, "s", 0) for i, lang in enumerate(sorted(words) * 40)]
+    torn = [(1_000 + i, "\n".join(say(lang, 10) for lang in sorted(words)), None, "s", 0) for i in range(10)]
+    blank = [(2_000, "12 34 ... !!", "en", "s", 0), (2_001, None, "en", "s", 0)]
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(clean + torn + blank, DOC), SF).collect()}
+    assert kept == {i for i, *_ in clean}
