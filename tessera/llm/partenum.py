@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, materialize, text_groups
+from tessera.llm.common import broadcast_if_small, materialize, text_groups, worker_cache
 
 WIDTH = 5
 NUM, DEN = 75, 100
@@ -34,7 +34,7 @@ SHARED = 16
 #: Signatures of a bucket, about; a bucket is what one task compares.
 PER_BUCKET = 2_000_000
 #: Characters of the texts that a task works on at once.
-GROUP = 1 << 21
+GROUP = 1 << 20
 #: Up to so many ids (8 bytes each) are broadcast.
 IDS = 200_000
 U = np.uint64
@@ -167,6 +167,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``doc_id, tag, n_shingles, class``; class 0 has no shingles, the tag is a hash of the text as it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("partenum")
         for batch in batches:
             done = 0
             for texts in text_groups(batch.column(2), GROUP):
@@ -196,6 +197,7 @@ def signed(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
     its bucket, so that no bucket fills with it; the others are known to share it widely, and ``wides`` counts that in a row of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("partenum")
         for batch in batches:
             for texts in text_groups(batch.column(0), GROUP):
                 hashes, counts = shingle_sets(texts)
@@ -271,6 +273,7 @@ def class_sets(docs: DataFrame, representatives: DataFrame, id_col: str, text_co
     """``class, n, shingles binary`` of the classes whose representative's id is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("partenum")
         for batch in batches:
             for texts in text_groups(batch.column(0), GROUP):
                 hashes, counts = shingle_sets(texts)
@@ -288,6 +291,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are similar, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("partenum")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -309,9 +313,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("class").alias("b"), "component"), "b").groupBy(F.col("a").alias("class")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "class").select("class", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        target = lower.select(F.col("class").alias("component"), F.col("component").alias("jump"))
-        stepped = materialize(lower.join(target, "component", "left").select("class", F.coalesce("jump", "component").alias("component"), (F.coalesce("jump", "component") != F.col("old")).alias("moved")))
+        lower = materialize(labels.join(near, "class").select("class", F.least("component", "near").alias("component"), F.col("component").alias("old")))
+        # labels that are to be replaced themselves: few soon, so that a large component is seldom shuffled by its one label
+        target = lower.filter("component < class").select(F.col("class").alias("component"), F.col("component").alias("jump")).join(lower.select("component").distinct(), "component", "left_semi")
+        stepped = materialize(lower.join(broadcast_if_small(target, IDS), "component", "left").select("class", F.coalesce("jump", "component").alias("component"), (F.coalesce("jump", "component") != F.col("old")).alias("moved")))
         labels = stepped.select("class", "component")
         if stepped.filter("moved").isEmpty():
             return labels
