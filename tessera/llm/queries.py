@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, partenum, pii, toxicity, warc
+from tessera.llm import alignment, bpe, langid, negatives, partenum, pii, substrings, toxicity, warc
 from tessera.llm.ann import search
 from tessera.llm.common import is_held_out, table
 from tessera.llm.dedup import exact_dedup
@@ -67,8 +67,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.link_strengths(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=negatives.shifted_label())
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_langid, op2_toxicity, op3_pii, op4_warc, op5_partenum, op6_token_store, op7_bpe, op8_mixing, op9_ann, op10_exact_dedup)}
+    operators = (op1_langid, op2_toxicity, op3_pii, op4_warc, op5_partenum, op6_token_store, op7_bpe, op8_mixing, op9_ann, op10_exact_dedup, op11_alignment, op12_hard_negatives, op13_substrings)
+    return {f.__name__: f for f in operators}
 
 
 DEDUP_SQL = """
@@ -126,5 +140,24 @@ FROM p
 """
 
 
+NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op8_mixing": MIX_SQL, "op10_exact_dedup": DEDUP_SQL}
+    return {"op4_warc": WARC_SQL, "op8_mixing": MIX_SQL, "op10_exact_dedup": DEDUP_SQL, "op12_hard_negatives": NEGATIVES_SQL}
