@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, broadcast_if_small, materialize
+from tessera.llm.common import WORD, broadcast_if_small, free_names, materialize
 
 #: Hash bits of each level: 48 in all, so that at the last level a bucket holds a single document but for chance; only the boundary bucket meets the finer levels.
 BITS = (12, 18, 18)
@@ -91,11 +91,12 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """The mix itself: each row as often as plan_mix says, with all its columns. Only the limits, one row per source,
-    join the texts, which therefore need no shuffle. Nulls and repeated rows are as in plan_mix."""
+    join the texts, which therefore need no shuffle. Helper columns take names that the table lacks. Nulls and repeated rows are as in plan_mix."""
     sized = materialize(docs.select(F.col(source_col).alias("source"), _words(text_col).alias("size"), _hash(id_col).alias("h")))
-    limits = mix_limits(sized, weights, cap).select(F.col("source").alias("__source"), "whole", "threshold")
-    limits = broadcast_if_small(limits.select("__source", F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold")), SOURCES)
-    joined = docs.withColumn("__h", _hash(id_col)).join(limits, docs[source_col].eqNullSafe(F.col("__source")))
-    copies = (F.col("__whole") + F.when(F.col("__h") < F.col("__threshold"), 1).otherwise(0)).cast("int")
+    own = free_names(docs, "mix_source", "mix_whole", "mix_threshold", "mix_hash", "mix_copy")
+    source, whole, threshold, hashed, copy = own
+    limits = mix_limits(sized, weights, cap).select(F.col("source").alias(source), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    joined = docs.withColumn(hashed, _hash(id_col)).join(broadcast_if_small(limits, SOURCES), F.col(source_col).eqNullSafe(F.col(source)))
+    copies = (F.col(whole) + F.when(F.col(hashed) < F.col(threshold), 1).otherwise(0)).cast("int")
     repeats = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))
-    return joined.withColumn("__n", repeats).select(*docs.columns)
+    return joined.withColumn(copy, repeats).drop(*own)
