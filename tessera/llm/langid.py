@@ -26,8 +26,8 @@ LEAST_DOCS, LEAST_CHARS, MOST_CHARS = 20, 500, 20_000
 #: Characters of the texts that a task works on at once.
 GROUP = 1 << 19
 TABLE_BITS, ORDERS = 17, (1, 2, 3, 4)
-#: A longer line goes on as a chain of its own.
-CHAIN = 256
+#: Words of a line that are walked one after another; stretches of longer lines are walked at the same time, with the messages carried over.
+STRETCH = 256
 ROUNDS, RATE, DECAY = 20, 0.5, 1e-6
 
 
@@ -82,48 +82,73 @@ def features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chains(line_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where chains begin and how long they are: lines, cut after CHAIN words."""
-    if not len(line_of):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    begins = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]])
-    lengths = np.diff(np.r_[begins, len(line_of)])
-    pieces = -(-lengths // CHAIN)
-    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = np.repeat(begins, pieces) + nth * CHAIN
-    return starts, np.minimum(CHAIN, np.repeat(begins + lengths, pieces) - starts)
+    """Where chains begin and how long they are: whole lines."""
+    begins = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]][: len(line_of)])
+    return begins, np.diff(np.r_[begins, len(line_of)])
 
 
 def forward_backward(emissions: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Marginals of every position, and the expected transitions if asked. All chains step together, the longest first."""
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
+    """Marginals of every position, and the expected transitions if asked. Long chains are walked in stretches at the same time: first each stretch as a matrix from the message that enters it to the one that leaves
+    it, then the messages from stretch to stretch, then all positions. The result is that of one walk over the chain."""
+    pieces = -(-lengths // STRETCH)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begins = np.repeat(starts, pieces) + nth * STRETCH
+    sizes = np.minimum(STRETCH, np.repeat(starts + lengths, pieces) - begins)
+    order = np.argsort(-sizes, kind="stable")
+    begins, sizes, nth = begins[order], sizes[order], nth[order]
+    number = np.empty(len(order), np.int64)  # of each stretch in the order of the text
+    number[order] = np.arange(len(order))
     scores = np.exp(np.clip(emissions - emissions.max(axis=1, keepdims=True), -30, 0))
     step = np.exp(transitions)
-    alive = np.searchsorted(-lengths, -np.arange(1, (int(lengths[0]) if len(lengths) else 0) + 1), side="right")
+    alive = np.searchsorted(-sizes, -np.arange(1, (int(sizes[0]) if len(sizes) else 0) + 1), side="right")
+    entering, leaving = _between(scores, step, begins, alive, nth, number, pieces)
     ahead, marginals = np.empty_like(scores), np.empty_like(scores)
-    held = None
+    held, first = None, (nth == 0)[:, None]
     for t, n in enumerate(alive.tolist()):
-        at = starts[:n] + t
-        held = scores[at] if t == 0 else (held[:n] @ step) * scores[at]
+        at = begins[:n] + t
+        held = np.where(first, scores[at], (entering @ step) * scores[at]) if t == 0 else (held[:n] @ step) * scores[at]
         held /= held.sum(axis=1, keepdims=True)
         ahead[at] = held
     expected = np.zeros_like(step) if pairs else None
-    back = np.ones((len(starts), scores.shape[1]))
+    back = leaving
     for t in range(len(alive) - 1, -1, -1):
-        at = starts[: alive[t]] + t
+        at = begins[: alive[t]] + t
         both = ahead[at] * back[: alive[t]]
         marginals[at] = both / both.sum(axis=1, keepdims=True)
-        if t:
+        inner = np.ones(len(at), bool) if t else nth > 0
+        if inner.any() and (t or pairs):
             into = scores[at] * back[: alive[t]]
-            before = ahead[at - 1]
             if pairs:
-                norm = ((before @ step) * into).sum(axis=1, keepdims=True)
-                expected += step * (before.T @ (into / norm))
+                before = (ahead[at - 1] if t else entering)[inner]
+                norm = ((before @ step) * into[inner]).sum(axis=1, keepdims=True)
+                expected += step * (before.T @ (into[inner] / norm))
             into = into @ step.T
             back[: alive[t]] = into / into.sum(axis=1, keepdims=True)
     return marginals, expected
 
 
+def _between(scores: np.ndarray, step: np.ndarray, begins: np.ndarray, alive: np.ndarray, nth: np.ndarray, number: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward message before each stretch and the backward one behind it."""
+    entering, leaving = np.ones((len(begins), len(step))), np.ones((len(begins), len(step)))
+    if not (pieces > 1).any():
+        return entering, leaving
+    through = np.broadcast_to(step, (len(begins), *step.shape)).copy()
+    through[nth == 0] = np.eye(len(step))
+    for t, n in enumerate(alive.tolist()):
+        moved = (through[:n] if t == 0 else through[:n] @ step) * scores[begins[:n] + t][:, None, :]
+        through[:n] = moved / moved.max(axis=(1, 2), keepdims=True)
+    base, most = np.cumsum(pieces) - pieces, int(pieces.max())
+    for k in range(1, most):  # all chains with so many stretches
+        here = base[pieces > k] + k
+        held = np.einsum("ni,nij->nj", entering[number[here - 1]], through[number[here - 1]])
+        entering[number[here]] = held / held.sum(axis=1, keepdims=True)
+    for k in range(most - 1, 0, -1):
+        here = base[pieces > k] + k
+        held = np.einsum("nij,nj->ni", through[number[here]], leaving[number[here]])
+        leaving[number[here - 1]] = held / held.sum(axis=1, keepdims=True)
+    return entering, leaving
+
+
 class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray):
         self.labels, self.weights, self.transitions = labels, weights, transitions
