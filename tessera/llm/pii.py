@@ -9,6 +9,7 @@ where the precision holds on documents that do not teach; generated candidates t
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,16 +52,18 @@ LOOSE = {
     "phone": Format(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|00[0-9]{1,3}[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
 }
 #: Generators inside base matches that fail: runs of so many digits that begin and end where groups of digits do. Each matches the first digit and looks at the rest.
-CARD_RUNS = {n: Format(rf"(?<![0-9])[0-9](?=(?:[\x20-]?[0-9]){{{n - 1}}}(?![0-9]))", "[0-9]") for n in range(16, 20)}
+CARD_RUNS = {n: Format(rf"(?<![0-9])(?=([0-9](?:[\x20-]?[0-9]){{{n - 1}}})(?![0-9]))[0-9]", "[0-9]") for n in range(16, 20)}
 PHONE_RUNS = [rf"^\+[0-9](?:[\x20().-]*[0-9]){{{n - 1}}}(?![0-9])" for n in range(8, 16)]
 #: Words that announce a kind, in the text just before.
 CUES = {"email": r"(?i)mail|contact", "ip": r"(?i)\bip\b|host|addr", "card": r"(?i)card|visa|carte|karte|tarjeta", "phone": r"(?i)tel|phone|call|fax|mobil"}
 CUE_CHARS = 24
+#: Matches whose positions are summed at a time: growing arrays are copied, and two levels of them keep the copies short up to 100,000 matches in a text.
+STRIDE = 128
 
 
 def spans(text: Column, fmt: Format) -> Column:
     """All matches from the left, without overlap, with code point positions (end exclusive) and the text around them. The gaps come from
-    splitting at the same pattern, so positions are running sums of lengths."""
+    splitting at the same pattern, so positions are running sums of lengths, by blocks of matches and within each."""
     gaps, found = F.split(text, fmt.pattern, -1), F.regexp_extract_all(text, F.lit(fmt.pattern), F.lit(0))
     empty = F.array().cast(SPANS)
 
@@ -70,9 +73,22 @@ def spans(text: Column, fmt: Format) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(CUE_CHARS)).alias("left"), F.left(x["after"], F.lit(1)).alias("right"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+    def walked(z: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(z) / STRIDE).cast("int") - 1, F.lit(0)))
+        block = lambda b: F.slice(z, b * STRIDE + 1, F.lit(STRIDE))
+        width = lambda b: F.aggregate(block(b), F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["match"]))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(blocks, begin, lambda acc, b: F.struct((acc["at"] + width(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        of_block = lambda o: lambda b: F.aggregate(block(b), F.struct(F.element_at(o, b + 1).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+        return bound(begins, lambda o: F.flatten(F.transform(blocks, of_block(o))))
+
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"), F.slice(gaps, 2, F.size(found)).alias("after"))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(fmt.first), walked).otherwise(empty)
+    return F.when(text.rlike(fmt.first), bound(zipped, walked)).otherwise(empty)
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def part(x: Column, at: Column, match: Column) -> Column:
@@ -84,12 +100,14 @@ def part(x: Column, at: Column, match: Column) -> Column:
 
 
 def inner_cards(x: Column) -> Column:
-    """Runs of 16 to 19 digits in a base match, at the borders of its groups, that pass the check; they may overlap."""
+    """Runs of 16 to 19 digits in a base match, at the borders of its groups, that pass the check; they may overlap. A pattern matches the first digit alone and captures the run and what follows it while looking ahead;
+    only runs that pass are described further."""
 
     def runs(n: int) -> Column:
-        whole = rf"^[0-9](?:[\x20-]?[0-9]){{{n - 1}}}"
-        found = F.transform(spans(x["match"], CARD_RUNS[n]), lambda y: part(x, y["start"], F.regexp_extract(F.substring(x["match"], y["start"] + 1, F.lit(2 * n)), whole, 0)))
-        return F.filter(found, lambda y: passes("card", y["match"]))
+        found = F.transform(spans(x["match"], CARD_RUNS[n]), lambda y: y["start"])
+        texts = F.regexp_extract_all(x["match"], F.lit(CARD_RUNS[n].pattern), F.lit(1))
+        passing = F.filter(F.arrays_zip(found.alias("at"), texts.alias("match")), lambda y: passes("card", y["match"]))
+        return F.transform(passing, lambda y: part(x, y["at"], y["match"]))
 
     return F.concat(*[runs(n) for n in CARD_RUNS])
 
@@ -212,7 +230,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prec
     scores = F.from_json(F.lit(json.dumps(chosen)), "map<string,double>")
     # of spans that begin at one place the best score stays, then the longest; others may overlap
     rank = lambda x: F.struct(F.element_at(scores, x["features"]), x["end"])
-    best = F.filter("more", lambda x: ~F.exists("more", lambda y: (y["kind"] == x["kind"]) & (y["start"] == x["start"]) & (rank(y) > rank(x))))
+    place = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), rank(x).alias("rank"), x.alias("span"))
+    last = lambda s: lambda x, i: (i + 1 == F.size(s)) | (F.struct(x["kind"], x["start"]) != bound(F.get(s, i + 1), lambda y: F.struct(y["kind"], y["start"])))
+    best = F.transform(bound(F.array_sort(F.transform("more", place)), lambda s: F.filter(s, last(s))), lambda x: x["span"])
     rows = found.select("doc_id", base.alias("kept"), "loose").withColumn("more", more).withColumn("added", F.array_distinct(best))
     in_order = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
     named = lambda c: F.array_join(F.transform(in_order(c), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
