@@ -10,6 +10,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -18,13 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import store, text_groups, worker_cache
+from tessera.llm.bpe import written
+from tessera.llm.common import Remembered, store, text_groups, worker_cache
 
 #: Before a space and after it: no white space, nor what either tokenizer may take for one.
 _OTHER = r"[^\s\u180e\u2581]"
 CUT = re.compile(f"(?<={_OTHER})(?= {_OTHER})")
-#: Parts that a worker remembers, some 400 bytes each; the characters of the texts taken together.
-MOST, GROUP = 120_000, 1 << 21
+REGULAR = re.compile(f" {_OTHER}(?:.*{_OTHER})?", re.DOTALL)
+#: Parts that a worker remembers (twice as many with the older ones), some 200 bytes each; characters encoded at once; characters of the texts taken together.
+MOST, ROW, GROUP = 200_000, 4_000, 1 << 21
+B_SIDE, LOST = np.uint32(1 << 31), np.uint32((1 << 32) - 1)
 
 
 class Alignment(NamedTuple):
@@ -46,14 +50,19 @@ def owners(a_sizes: np.ndarray, b_sizes: np.ndarray) -> Alignment:
     return Alignment(a_ends, b_ends, np.stack([a[first], b[first]], axis=1))
 
 
-class Part(NamedTuple):
-    """What is kept of a distinct part of a text: token counts, its groups as text, its links as 64-bit codes (id of A times B's size plus id of B), and its overlaps."""
+class Aligned(NamedTuple):
+    """The texts of a group end to end: ids, sizes and number for each text of both sides, and the alignment of all. Both owners change between texts."""
 
-    n_a: int
-    n_b: int
-    n_overlaps: int
-    groups: str
-    links: bytes
+    a: np.ndarray
+    b: np.ndarray
+    a_sizes: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    found: Alignment
+
+    def upto(self, of_a: np.ndarray, right: bool = True) -> np.ndarray:
+        """How many of rising places (numbers of A's tokens, or ends of theirs) lie before the end of each text, and 0 first."""
+        return np.r_[0, np.searchsorted(of_a, np.cumsum(self.n_a), side="right" if right else "left")]
 
 
 class Aligner:
@@ -73,61 +82,86 @@ class Aligner:
         # the cuts hold only where no piece of B reaches over a space; else whole texts are parts
         self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(self.b_bytes)))
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, Part | None] = {}
+        digits = [f"{i}{mark}" for n, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for mark in marks for i in range(n)]
+        self.digits = pa.array(digits, pa.large_string())
+        self.known = Remembered(MOST)
 
     def parts(self, text: str) -> list[str]:
         """The text behind a space, in parts that each begin with one."""
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [x.ids for x in self.a.encode_batch(parts, add_special_tokens=False)], self.b.encode([p[1:] for p in parts], num_threads=1)
+    def encode(self, strings: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both sides for strings that begin with a space, which B adds itself."""
+        return [x.ids for x in self.a.encode_batch_fast(strings, add_special_tokens=False)], self.b.encode([s[1:] for s in strings], num_threads=1)
 
-    def same_bytes(self, part: str, a: list[int], b: list[int]) -> bool:
-        want = part.encode()
+    def same_bytes(self, text: str, a: list[int], b: list[int]) -> bool:
+        want = text.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
 
     def learn(self, parts: list[str]) -> None:
-        """All new parts end to end in one pair of owner arrays: both owners change between parts."""
-        a_ids, b_ids = self.encode(parts)
-        fine = []
-        for part, a, b in zip(parts, a_ids, b_ids, strict=True):
-            self.known[part] = None
-            if self.same_bytes(part, a, b):
-                fine.append((part, a, b))
-        if not fine:
-            return
-        a_all, b_all = (np.fromiter((i for x in fine for i in x[n]), np.int64) for n in (1, 2))
-        found = owners(self.a_sizes[a_all], self.b_sizes[b_all])
-        links = a_all[found.a_ends - 1] * len(self.b_bytes) + b_all[found.b_ends - 1]
-        a_upto, b_upto = (np.r_[0, np.cumsum([len(x[n]) for x in fine])] for n in (1, 2))
-        cuts = np.r_[0, np.searchsorted(found.a_ends, a_upto[1:], side="right")]
-        laps = np.r_[0, np.searchsorted(found.overlaps[:, 0], a_upto[1:], side="left")]
-        a_ends, b_ends = found.a_ends.tolist(), found.b_ends.tolist()
-        for i, (part, a, b) in enumerate(fine):
-            groups, at, bt, a0, b0 = [], 0, 0, int(a_upto[i]), int(b_upto[i])
-            for c in range(cuts[i], cuts[i + 1]):
-                a_to, b_to = a_ends[c] - a0, b_ends[c] - b0
-                groups.append(f"{','.join(map(str, a[at:a_to]))}|{','.join(map(str, b[bt:b_to]))}")
-                at, bt = a_to, b_to
-            self.known[part] = Part(len(a), len(b), int(laps[i + 1] - laps[i]), ";".join(groups), links[cuts[i] : cuts[i + 1]].tobytes())
-
-    def align(self, texts: list[str]) -> Iterator[list[Part]]:
-        """The parts of each text, none if it is empty or a tokenizer does not give its bytes back."""
+        """Remembers the ids of new parts: those of A, then those of B with the highest bit set; LOST alone where the bytes do not come back. Parts that may stand next to each other are encoded in rows of some
+        thousand characters and cut again by their bytes."""
+        rows: list[list[str]] = [[]]
+        size = 0
+        for part in parts:
+            inner = REGULAR.fullmatch(part) is not None and self.cuts
+            if rows[-1] and (not inner or size > ROW):
+                rows.append([])
+                size = 0
+            rows[-1].append(part)
+            size = size + len(part) if inner else ROW + 1
+        joined = ["".join(row) for row in rows if row]
+        lists = []
+        for row, text, a, b in zip(rows, joined, *self.encode(joined), strict=True):
+            if not self.same_bytes(text, a, b):
+                for part, *pair in zip(row, *self.encode(row), strict=True):
+                    fine = self.same_bytes(part, *pair)
+                    lists += [np.array(pair[0], np.uint32), np.array(pair[1], np.uint32) | B_SIDE] if fine else [np.array([LOST]), np.empty(0, np.uint32)]
+                continue
+            ends = np.cumsum([len(part.encode()) for part in row])
+            ids = [np.array(a, np.uint32), np.array(b, np.uint32)]
+            cuts = [np.searchsorted(np.cumsum(sizes[x]), ends, side="right") for sizes, x in zip((self.a_sizes, self.b_sizes), ids, strict=True)]
+            a_split, b_split = np.split(ids[0], cuts[0][:-1]), np.split(ids[1] | B_SIDE, cuts[1][:-1])
+            lists += [x for pair in zip(a_split, b_split, strict=True) for x in pair]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.known.add(parts, np.concatenate(lists), sizes[0::2] + sizes[1::2])
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, marked as in ``learn``, and how many each has; none for a text that is empty or not given back."""
         split = [self.parts(t) if t else [] for t in texts]
-        if len(self.known) > MOST:
-            self.known = {}
-        if new := list(dict.fromkeys(p for parts in split for p in parts if p not in self.known)):
+        flat = list(chain.from_iterable(split))
+        if new := self.known.absent(list(dict.fromkeys(flat))):
             self.learn(new)
-        for parts in split:
-            found = [self.known[p] for p in parts]
-            if None in found:  # what the parts lose might still come out right together, so the whole text decides
-                whole = "".join(parts)
-                if len(parts) > 1:
-                    if whole not in self.known:
-                        self.learn([whole])
-                    found = [self.known.pop(whole)]
-                found = [p for p in found if p]
-            yield found
+        ids, sizes = self.known.get(self.known.places(flat))
+        upto = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]]
+        counts = np.diff(upto)
+        lost = np.unique(np.searchsorted(upto, np.flatnonzero(ids == LOST), side="right") - 1)
+        if len(lost):
+            pieces = np.split(ids, upto[1:-1])
+            for i in lost.tolist():  # what the parts lose might still come out right together, so the whole text decides
+                whole = " " + texts[i]
+                (a,), (b,) = self.encode([whole])
+                pieces[i] = np.r_[np.array(a, np.uint32), np.array(b, np.uint32) | B_SIDE] if self.same_bytes(whole, a, b) else np.empty(0, np.uint32)
+            ids, counts = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        return ids, counts
+
+    def align(self, texts: list[str]) -> Aligned:
+        ids, counts = self.ids(texts)
+        of_b = ids >= B_SIDE
+        n_b = np.diff(np.r_[0, np.cumsum(of_b)][np.r_[0, np.cumsum(counts)]])
+        a, b = ids[~of_b].astype(np.int64), (ids[of_b] ^ B_SIDE).astype(np.int64)
+        a_sizes = self.a_sizes[a]
+        return Aligned(a, b, a_sizes, counts - n_b, n_b, owners(a_sizes, self.b_sizes[b]))
+
+    def written(self, x: Aligned) -> Iterator[memoryview]:
+        """The groups of each text as text: ids with commas, a bar after the last of A, a semicolon after the last of B."""
+        a_ends, b_ends = x.found.a_ends, x.found.b_ends
+        a_group, b_group = (np.repeat(np.arange(len(e)), np.diff(np.r_[0, e])) for e in (a_ends, b_ends))
+        a_last, b_last = (np.isin(np.arange(e[-1]) + 1, e, assume_unique=True) if len(e) else np.empty(0, bool) for e in (a_ends, b_ends))
+        out = np.empty(len(x.a) + len(x.b), np.int64)
+        out[np.arange(len(x.a)) + np.r_[0, b_ends][a_group]] = x.a + len(self.a_bytes) * a_last
+        out[np.arange(len(x.b)) + a_ends[b_group]] = 2 * len(self.a_bytes) + x.b + len(self.b_bytes) * b_last
+        return written(out, x.n_a + x.n_b, self.digits)
 
 
 def _byte_level() -> dict[str, int]:
@@ -167,20 +201,15 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
         for batch in batches:
             done = 0
             for group in text_groups(batch.column(1), GROUP):
-                rows, whose = [], []
-                for i, parts in enumerate(aligner.align(group), done):
-                    at = 0
-                    for place, g in enumerate(g for p in parts for g in p.groups.split(";")):
-                        a, b = ([int(x) for x in side.split(",")] for side in g.split("|"))
-                        size = int(aligner.a_sizes[a].sum())
-                        rows.append((place, at, at + size, a, b))
-                        whose.append(i)
-                        at += size
+                x = aligner.align(group)
+                a_ends, b_ends, cuts = x.found.a_ends, x.found.b_ends, x.upto(x.found.a_ends)
+                whose = np.repeat(np.arange(len(group)), np.diff(cuts))
+                ends = np.cumsum(x.a_sizes)[a_ends - 1] if len(a_ends) else np.empty(0, np.int64)
+                before = np.r_[0, ends][cuts[:-1]][whose]
+                lists = [pa.ListArray.from_arrays(np.r_[0, e].astype(np.int32), pa.array(i.astype(np.int32))) for e, i in ((a_ends, x.a), (b_ends, x.b))]
+                numbers = [pa.array((np.arange(len(ends)) - cuts[whose]).astype(np.int32)), pa.array(np.r_[0, ends][:-1] - before), pa.array(ends - before)]
+                yield pa.record_batch([batch.column(0).take(pa.array(done + whose)), *numbers, *lists], ["doc_id", "place", "start", "end", "a_ids", "b_ids"])
                 done += len(group)
-                if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.record_batch([batch.column(0).take(pa.array(whose, pa.int64())), *columns], ["doc_id", "place", "start", "end", "a_ids", "b_ids"])
 
     texts, kind = _texts(docs, id_col, text_col)
     return texts.mapInArrow(run, f"doc_id {kind}, place int, start long, end long, a_ids array<int>, b_ids array<int>")
@@ -196,19 +225,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             done = 0
             for group in text_groups(batch.column(1), GROUP):
-                counts, digests, sizes, links, times = [], [], [], [], []
-                for parts in aligner.align(group):
-                    n_a, n_b, laps = (sum(p[k] for p in parts) for k in range(3))
-                    codes, often = np.unique(np.frombuffer(b"".join(p.links for p in parts), np.int64), return_counts=True)
-                    n_links = int(often.sum())
-                    counts.append((n_a, n_b, n_links, laps, n_links))
-                    digests.append(hashlib.sha256(";".join(p.groups for p in parts).encode()).hexdigest() if parts else "")
-                    sizes.append(len(codes))
-                    links.append(codes)
-                    times.append(often)
-                upto = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(upto, pa.array(np.concatenate(x).astype(kind))) for x, kind in ((links, np.int64), (times, np.int32))]
-                numbers = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
+                x = aligner.align(group)
+                cuts, laps = x.upto(x.found.a_ends), x.upto(x.found.overlaps[:, 0], right=False)
+                links = np.split(x.a[x.found.a_ends - 1] * len(aligner.b_bytes) + x.b[x.found.b_ends - 1], cuts[1:-1])
+                distinct = [np.unique(codes, return_counts=True) for codes in links]
+                digests = [hashlib.sha256(t[:-1]).hexdigest() if len(t) else "" for t in aligner.written(x)]  # without the last semicolon
+                upto = pa.array(np.r_[0, np.cumsum([len(codes) for codes, _ in distinct])].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(upto, pa.array(np.concatenate([d[k] for d in distinct]).astype(kind))) for k, kind in ((0, np.int64), (1, np.int32))]
+                numbers = [pa.array(n) for n in (x.n_a, x.n_b, np.diff(cuts), np.diff(laps), np.diff(cuts))]
                 yield pa.record_batch([batch.column(0).slice(done, len(group)), *numbers, pa.array(digests), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_overlaps", "n_links", "groups_sha256", "links", "times"])
                 done += len(group)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tessera.operators import analytics, claims, crawl, details, entities, evidence, exports, extraction, graph, judgements, knowledge, ladders, metadata, relational, scoring, sources  # noqa: F401  they register themselves
 from tessera.plans.register import QUERIES, SQL, Query
-from tessera.streaming import events  # noqa: F401
+from tessera.streaming import events, stalls  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
