@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, negatives, queries, substrings
+from tessera.llm import alignment, dedup, langid, mixing, negatives, partenum, pii, queries, substrings
 from tests.conftest import SF
 
 DOC = "doc_id long, text string"
@@ -223,3 +223,57 @@ def test_symbols_follow_from_their_supports():
             inside = (s.low >= at) & (s.high <= at + 60)
             found.append({(int(n), int(a) - at, int(b) - at) for n, a, b in zip(s.name[inside], s.start[inside], s.end[inside], strict=True)})
         assert found[0] == found[1]
+
+
+# --- earlier operators -----------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_long_lines_are_one_chain(monkeypatch):
+    """Stretches change nothing: marginals and expected transitions equal those of one walk."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 40, 3, 97, 8, 16, 17])
+    starts = np.cumsum(lengths) - lengths
+    emissions, transitions = rng.normal(0, 3, (lengths.sum(), 4)), rng.normal(0, 1, (4, 4))
+    whole = langid.forward_backward(emissions, starts, lengths, transitions, pairs=True)
+    for size in (1, 2, 8, 40):
+        monkeypatch.setattr(langid, "STRETCH", size)
+        got = langid.forward_backward(emissions, starts, lengths, transitions, pairs=True)
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(whole, got, strict=True))
+
+
+def test_stages_keep_columns_with_their_own_names(spark):
+    """Input columns named as any helper column of a stage come through unchanged."""
+    helpers = ["__h", "__n", "__source", "__whole", "__threshold", "mix_source", "mix_whole", "mix_threshold", "mix_hash", "mix_copy", "whole", "threshold", "h", "s"]
+    helpers += ["__gone_id", "__gone_digest", "__gone", "__tag", "key", "digest", "component_id", "lang_pred", "lang_score"]
+    docs = spark.createDataFrame([(i, f"word{i} of a text {'long ' * i}", ("a", "b", None)[i % 3]) for i in range(30)], "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{h} of "), F.col("doc_id").cast("string")).alias(h) for h in helpers])
+    for stage in (mixing.apply_mix, dedup.drop_copies, partenum.keep_one):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[h] == f"{h} of {r['doc_id']}" for r in rows for h in helpers)
+
+
+def test_many_spans_in_one_text(spark):
+    """Positions by blocks of matches: more addresses and digits in a text than a block has."""
+    text = "é " + " ".join(f"u{i}@x.org" for i in range(700)) + " " + " ".join(str(i % 10) for i in range(900)) + " end"
+    row = pii.detect(spark.createDataFrame([(1, text)], DOC)).first()
+    assert row["n_email"] == 700
+    wanted = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"u[0-9]+@x\.org", text)]
+    assert row["base_sha256"] == hashlib.sha256(",".join(wanted).encode()).hexdigest()
+
+
+def test_time_of_many_digits_is_in_proportion(spark):
+    """100,000 separated digits take about as long as so many texts of 1,000: growth by the square would take a hundred times that."""
+    import time
+
+    def seconds(rows):
+        df = spark.createDataFrame(rows, DOC).coalesce(1)
+        began = time.time()
+        pii.candidates(df, "doc_id", "text").selectExpr("sum(size(base) + size(loose))").collect()
+        return time.time() - began
+
+    many = lambda n: " ".join(str(i * 7 % 10) for i in range(n))
+    seconds([(0, many(1000))])
+    short = seconds([(i, many(1000)) for i in range(20)])
+    assert seconds([(0, many(20_000))]) < 5 * short + 5
