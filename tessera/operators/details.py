@@ -145,12 +145,15 @@ def organisations():
     return best
 
 
-@query("X54_footer_stems", f"SELECT p.dump_id, contains(lower({DECODE_SQL('p.html')}), lower(string_split(p.domain, '.')[-2])) AS has_stem, CASE WHEN regexp_matches(lower({DECODE_SQL('p.html')}), concat('©[^<]*', lower(string_split(p.domain, '.')[-2]))) THEN 98 WHEN contains(lower({DECODE_SQL('p.html')}), lower(string_split(p.domain, '.')[-2])) THEN 75 ELSE 0 END AS confidence FROM {P} p WHERE regexp_matches(p.domain, '^[a-z0-9.-]+$')")
+STEM_SQL = "lower(string_split(p.domain, '.')[-2])"
+
+
+@query("X54_footer_stems", f"SELECT p.dump_id, contains(lower({DECODE_SQL('p.html')}), {STEM_SQL}) AS has_stem, CASE WHEN regexp_matches(lower({DECODE_SQL('p.html')}), concat('©[^<]*', regexp_escape({STEM_SQL}))) THEN 98 WHEN contains(lower({DECODE_SQL('p.html')}), {STEM_SQL}) THEN 75 ELSE 0 END AS confidence FROM {P} p")
 def footer_stems(spark: SparkSession, sf: str) -> DataFrame:
-    """A pattern of its own for each row: the domain's stem after a copyright sign."""
+    """A pattern of its own for each row: the domain's stem, whatever its characters, after a copyright sign."""
     stem, text = F.lower(F.element_at(F.split("domain", r"\."), -2)), F.lower(decoded(F.col("html")))
-    confidence = F.when(F.rlike(text, F.concat(F.lit("©[^<]*"), stem)), 98).when(text.contains(stem), 75).otherwise(0)
-    return DUMPS.read(spark, sf).filter(F.col("domain").rlike("^[a-z0-9.-]+$")).select("dump_id", text.contains(stem).alias("has_stem"), confidence.alias("confidence"))
+    confidence = F.when(F.rlike(text, F.concat(F.lit(r"©[^<]*\Q"), stem, F.lit(r"\E"))), 98).when(text.contains(stem), 75).otherwise(0)
+    return DUMPS.read(spark, sf).select("dump_id", text.contains(stem).alias("has_stem"), confidence.alias("confidence"))
 
 
 @query(
