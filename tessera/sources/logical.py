@@ -138,3 +138,46 @@ LOG = Logical(
         "props": "props",
     },
 )
+#: The rest of a domain's stored row: what the second level, reviewers and classifiers leave in it.
+DETAILS = Logical(
+    "orders",
+    (),
+    {
+        "id": "o_orderkey",
+        "final_legal_name": "CASE WHEN o_orderkey % 8 = 0 THEN concat('Company ', cast(o_custkey % 300 as string), ' Group \"', cast(o_orderkey % 3 as string), '\"') END",
+        "final_confidence": "CASE WHEN o_orderkey % 8 = 0 THEN cast(60 + o_custkey % 40 as double) END",
+        "final_extraction_method": "CASE WHEN o_orderkey % 8 = 0 THEN 'gleif_level2' END",
+        "recommendation": "CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN 'Manual review needed - Use browser or proxy' ELSE 'Wait, then try again' END",
+        "technical_details": "CASE WHEN o_orderkey % 7 = 3 THEN 'anti-bot page' WHEN o_orderkey % 7 = 5 THEN 'DNS, SSL, or server issues' END",
+        "processing_started_at": "CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN NULL ELSE o_orderdate END",
+        "processed_at": "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END",
+        "level2_processing_time_ms": "CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 4000 END",
+        "selection_algorithm": "CASE WHEN o_orderkey % 8 = 0 THEN 'weighted_v1' END",
+        "selection_notes": "CASE WHEN o_orderkey % 16 = 0 THEN 'chosen by name' END",
+        "primary_selection_confidence": "CASE WHEN o_orderkey % 8 = 0 THEN 50 + o_custkey % 50 END",
+        "predicted_entity_category": "CASE o_custkey % 4 WHEN 0 THEN 'Corporation' WHEN 1 THEN 'Fund' ELSE NULL END",
+        "entity_category_confidence": "CASE WHEN o_custkey % 4 < 2 THEN o_custkey % 100 END",
+    },
+)
+#: Results of the processing pipeline and of text cleaning for dumps: several a dump, some without a name.
+PROCESSED = Logical(
+    "documents",
+    (),
+    {
+        "source_type": "CASE doc_id % 4 WHEN 0 THEN 'crawlee_dump' WHEN 1 THEN 'scrapy_crawl' WHEN 2 THEN 'playwright_dump' ELSE 'axios_cheerio_dump' END",
+        "source_id": "doc_id % 600",
+        "result_id": "doc_id",
+        "created_seq": "(doc_id * 7919) % 100003",
+        "entity_name": "CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 5 = 0 THEN NULL ELSE concat('Entity ', cast(doc_id % 97 as string), ' ', upper(coalesce(lang, 'xx'))) END",
+    },
+)
+CLEANED = Logical(
+    "conversations",
+    (),
+    {
+        "source_type": "CASE conv_id % 4 WHEN 0 THEN 'crawlee_dump' WHEN 1 THEN 'scrapy_crawl' WHEN 2 THEN 'playwright_dump' ELSE 'axios_cheerio_dump' END",
+        "source_id": "conv_id % 800",
+        "result_id": "conv_id * 1000 + turn",
+        "entity_name": "CASE WHEN turn % 3 = 2 THEN NULL ELSE concat('Cleaned ', cast(conv_id % 89 as string), ' ', role) END",
+    },
+)
