@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.compat import js_round
 from tessera.plans.register import query
-from tessera.sources.logical import CANDIDATES, DOMAINS, ENTITIES
+from tessera.sources.logical import CANDIDATES, DOMAINS, ENTITIES, MODELS
 
-D, C, E = DOMAINS.sql, CANDIDATES.sql, ENTITIES.sql
+D, C, E, M = DOMAINS.sql, CANDIDATES.sql, ENTITIES.sql, MODELS.sql
 AS_OF = "2001-11-01"
 # Grades by score, and what a claim's score adds up from.
 GRADES = ((0.9, "A+"), (0.8, "A"), (0.7, "B+"), (0.6, "B"))
@@ -199,11 +199,30 @@ def model_costs(spark: SparkSession, sf: str) -> DataFrame:
     return used.join(F.broadcast(prices), "extraction_method").select("extraction_method", (F.col("used") * F.col("price") / 1000).alias("cost"))
 
 
-@query("O8_O10_method_choice", "SELECT model, price FROM (VALUES ('a', 3.0, true, 1), ('b', 0.5, true, 2), ('c', 0.1, false, 3), ('d', 1.0, true, 4)) m(model, price, enabled, priority) WHERE enabled ORDER BY price LIMIT 3")
+@query("O8_O10_method_choice", f"SELECT model, price FROM {M} m WHERE enabled ORDER BY price, model LIMIT 3")
 def method_choice(spark: SparkSession, sf: str) -> DataFrame:
     """The three cheapest that are enabled."""
-    models = spark.createDataFrame([("a", 3.0, True, 1), ("b", 0.5, True, 2), ("c", 0.1, False, 3), ("d", 1.0, True, 4)], "model string, price double, enabled boolean, priority int")
-    return models.filter("enabled").orderBy("price").limit(3).select("model", "price")
+    return MODELS.read(spark, sf).filter("enabled").orderBy("price", "model").limit(3).select("model", "price")
+
+
+@query("O8_consensus_choice", f"SELECT provider, model, place FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY accuracy DESC, price, model) AS place FROM {M} m WHERE enabled) x WHERE place <= 3")
+def consensus_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each provider the three models that a consensus asks: the most accurate, then the cheaper ones."""
+    w = Window.partitionBy("provider").orderBy(F.desc("accuracy"), "price", "model")
+    return MODELS.read(spark, sf).filter("enabled").withColumn("place", F.row_number().over(w)).filter("place <= 3").select("provider", "model", F.col("place").cast("long").alias("place"))
+
+
+@query("O8_provider_cheapest", f"SELECT provider, arg_min(model, {{'p': price, 'm': model}}) AS cheapest, min(price) AS price, arg_min(model, {{'p': priority, 'm': model}}) AS preferred FROM {M} m WHERE enabled GROUP BY provider")
+def provider_cheapest(spark: SparkSession, sf: str) -> DataFrame:
+    """The cheapest enabled model of each provider, and the one of the highest priority."""
+    per = MODELS.read(spark, sf).filter("enabled").groupBy("provider")
+    return per.agg(F.min_by("model", F.struct("price", "model")).alias("cheapest"), F.min("price").alias("price"), F.min_by("model", F.struct("priority", "model")).alias("preferred"))
+
+
+@query("O10_by_priority", f"SELECT model, priority FROM {M} m WHERE enabled ORDER BY priority, model")
+def by_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """All enabled ones in the order in which they are tried."""
+    return MODELS.read(spark, sf).filter("enabled").select("model", "priority").orderBy("priority", "model")
 
 
 @query("W9_smoke_winner", f"SELECT domain, CASE WHEN count(*) > 1 THEN 'Tie' ELSE max(extraction_method) END AS winner FROM (SELECT domain, extraction_method, s, max(s) OVER (PARTITION BY domain) AS best FROM (SELECT domain, extraction_method, max(coalesce(confidence_score, 0) + CASE WHEN processing_time_ms < 2000 THEN 10 ELSE 0 END) AS s FROM {D} d GROUP BY domain, extraction_method) x) y WHERE s = best GROUP BY domain")

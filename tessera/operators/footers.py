@@ -102,12 +102,15 @@ def footer_ladder(domain: Column, footer: Column, text: Column) -> Column:
     def of_stem(a: Column, b: Column) -> Column:
         exact = cleaned(take(literal(a), F.lit(r"(?:[\s][A-Z][\w&-]*){0,2}\s+"), literal(b)))
         fuzzy = cleaned(take(F.lit(r"\w*"), literal(a), F.lit(rf"\w*[\s\w]*?{EDGE}"), literal(b)))
-        two = F.size(F.split(exact, " ")) >= 2
-        return F.array(entry(F.when(two & fine(exact), exact), 95), entry(F.when(fine(fuzzy), fuzzy), 85))
+        two = lambda x: F.size(F.split(x, " ")) >= 2
+        # each name is a variable, so the many patterns of validity do not search the text again
+        checked = F.array(F.struct(exact.alias("name"), F.lit(95).alias("confidence")), F.struct(fuzzy.alias("name"), F.lit(85).alias("confidence")))
+        return F.filter(checked, lambda x: x["name"].isNotNull() & ((x["confidence"] == 85) | two(x["name"])) & fine(x["name"]))
 
     third = each(held(stems(domain)), endings, of_stem)
     all_of = lambda b: F.regexp_extract_all(text, F.concat(F.lit(rf"(?iu){EDGE}((?:[A-Z][\w&-]*\s+){{1,3}}[A-Z][\w&-]*\s+"), literal(b), F.lit(rf"){EDGE}")), F.lit(1))
-    fourth = F.flatten(F.transform(endings, lambda b: F.transform(F.filter(F.transform(all_of(b), cleaned), lambda x: (F.size(F.split(x, " ")) >= 2) & fine(x)), lambda x: entry(x, 75))))
+    ending_words = F.filter(endings, lambda b: F.rlike(text, F.concat(F.lit(r"(?iu)\s"), literal(b), F.lit(EDGE))))
+    fourth = F.flatten(F.transform(ending_words, lambda b: F.transform(F.filter(F.transform(all_of(b), cleaned), lambda x: (F.size(F.split(x, " ")) >= 2) & fine(x)), lambda x: entry(x, 75))))
     best = lambda found: F.get(F.filter(found, lambda x: x["name"].isNotNull()), 0)
     return F.when(F.length(footer) >= LEAST_FOOTER, F.coalesce(*[best(x) for x in (first, second, third, fourth)]))
 
@@ -144,7 +147,9 @@ def footer_entities(spark: SparkSession, sf: str) -> DataFrame:
     """The ladder over all pages and hosts."""
     footer, text = pages_text(F.col("html"))
     rows = DUMPS.read(spark, sf).select("dump_id", "domain", footer.alias("footer"), text.alias("text"))
-    found = rows.select("dump_id", footer_ladder(F.col("domain"), F.col("footer"), F.col("text")).alias("x"))
+    # a variable of a lambda is evaluated once, a column that the plan folds into the ladder for each pattern
+    once = F.transform(F.array(F.struct("domain", "footer", "text")), lambda r: footer_ladder(r["domain"], r["footer"], r["text"]))
+    found = rows.select("dump_id", F.element_at(once, 1).alias("x"))
     return found.select("dump_id", F.col("x.name").alias("name"), F.coalesce(F.col("x.confidence"), F.lit(0)).alias("confidence"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.names import similar_names
 from tessera.plans.register import query
 from tessera.sources.logical import CANDIDATES, EDGES, ENTITIES
 
@@ -64,13 +63,17 @@ def corporate_family(spark: SparkSession, sf: str) -> DataFrame:
           >= greatest(1, least(len(list_filter(regexp_split_to_array(lower(a.legal_name), '\\s+'), lambda w: length(w) > 2)), len(list_filter(regexp_split_to_array(lower(b.legal_name), '\\s+'), lambda w: length(w) > 2))) * 0.5)""",
 )
 def inferred(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs within one domain's search result, a handful of rows: the search page bounds each group."""
+    """Pairs within one domain's search result that share enough words: only candidates with a word in common meet, by domain and word, and the words they share are counted."""
     found = CANDIDATES.read(spark, sf).select("domain_id", "lei_code", "legal_name", "jurisdiction", "city").distinct()
-    a, b = found.alias("a"), found.alias("b")
     c = F.col
-    pairs = a.join(b, (c("a.domain_id") == c("b.domain_id")) & (c("a.lei_code") < c("b.lei_code"))).filter(similar_names(c("a.legal_name"), c("b.legal_name")))
+    words = found.withColumn("words", F.filter(F.split(F.lower("legal_name"), r"\s+"), lambda w: F.length(w) > 2)).withColumn("me", F.struct("lei_code", "legal_name", "jurisdiction", "city", F.size("words").alias("n")))
+    every = words.select("domain_id", "me", F.explode("words").alias("word"))
+    once = words.select("domain_id", c("me").alias("you"), F.explode(F.array_distinct("words")).alias("word"))
+    met = every.join(once, ["domain_id", "word"]).filter("me.lei_code < you.lei_code").groupBy("domain_id", "me", "you").agg(F.count("*").alias("shared"))
+    enough = c("shared") >= F.greatest(F.lit(1.0), F.least("me.n", "you.n") * 0.5)
+    pairs = met.filter(enough).select("domain_id", c("me").alias("a"), c("you").alias("b"))
     apart = (c("a.jurisdiction") != c("b.jurisdiction")) & ~c("a.city").eqNullSafe(c("b.city"))
-    return pairs.select(c("a.domain_id").alias("domain_id"), c("a.lei_code").alias("one"), c("b.lei_code").alias("two"), F.when(apart, "subsidiary").otherwise("affiliate").alias("kind"), F.when(apart, 70).otherwise(60).alias("confidence"))
+    return pairs.select("domain_id", c("a.lei_code").alias("one"), c("b.lei_code").alias("two"), F.when(apart, "subsidiary").otherwise("affiliate").alias("kind"), F.when(apart, 70).otherwise(60).alias("confidence"))
 
 
 @query("S10_relationships_by_type", f"SELECT child_lei, max(CASE WHEN relationship_type = 'IS_ULTIMATELY_CONSOLIDATED_BY' THEN parent_lei END) AS ultimate_parent, list(parent_lei ORDER BY parent_lei) FILTER (relationship_type <> 'IS_ULTIMATELY_CONSOLIDATED_BY') AS parents FROM {R} r GROUP BY child_lei")

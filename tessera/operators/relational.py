@@ -283,11 +283,17 @@ def related_entities(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(active, "me").join(names, "other").select("me", "related_name", "relationship_type")
 
 
-@query("J18_known_company", f"SELECT d.id, k.name AS known_name FROM {D} d LEFT JOIN (VALUES ('auto1.com', 'Auto One'), ('buil2.de', 'Build Two'), ('mach9.fr', 'Machine Nine')) k(domain, name) ON d.domain = k.domain")
+#: Confidence from which a result counts as known.
+KNOWN_FROM = 95
+
+
+@query("J18_known_company", f"SELECT d.id, k.name AS known_name FROM {D} d LEFT JOIN (SELECT domain, min(company_name) AS name FROM {D} x WHERE status = 'success' AND confidence_score >= {KNOWN_FROM} AND company_name IS NOT NULL GROUP BY domain) k ON d.domain = k.domain")
 def known_company(spark: SparkSession, sf: str) -> DataFrame:
-    """A dictionary given with the call; its size is the caller's, three rows here."""
-    known = spark.createDataFrame([("auto1.com", "Auto One"), ("buil2.de", "Build Two"), ("mach9.fr", "Machine Nine")], "domain string, known_name string")
-    return DOMAINS.read(spark, sf).join(F.broadcast(known), "domain", "left").select("id", "known_name")
+    """Exact lookup in a dictionary of domains, here the companies that certain results name."""
+    domains = DOMAINS.read(spark, sf)
+    certain = domains.filter(f"status = 'success' AND confidence_score >= {KNOWN_FROM} AND company_name IS NOT NULL")
+    known = certain.groupBy("domain").agg(F.min("company_name").alias("known_name"))
+    return domains.join(known, "domain", "left").select("id", "known_name")
 
 
 # --- rankings --------------------------------------------------------------------------------------------------
@@ -372,12 +378,9 @@ def by_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("O6_U1_merged_dumps", f"SELECT dump_id, source_type FROM {P} p ORDER BY created_seq DESC, dump_id LIMIT 40")
 def merged_dumps(spark: SparkSession, sf: str) -> DataFrame:
-    """Four sources, each read with its own filter, merged newest first."""
-    dumps = DUMPS.read(spark, sf).select("dump_id", "source_type", "created_seq")
-    kinds = [dumps.filter(F.col("source_type") == k) for k in ("crawlee_dump", "scrapy_crawl", "playwright_dump", "axios_cheerio_dump")]
-    merged = kinds[0]
-    for other in kinds[1:]:
-        merged = merged.unionByName(other)
+    """Four sources merged newest first: one scan, since one table holds them."""
+    kinds = ("crawlee_dump", "scrapy_crawl", "playwright_dump", "axios_cheerio_dump")
+    merged = DUMPS.read(spark, sf).select("dump_id", "source_type", "created_seq").filter(F.col("source_type").isin(*kinds))
     return merged.orderBy(F.desc("created_seq"), "dump_id").limit(40).select("dump_id", "source_type")
 
 

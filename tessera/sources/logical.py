@@ -181,3 +181,16 @@ CLEANED = Logical(
         "entity_name": "CASE WHEN turn % 3 = 2 THEN NULL ELSE concat('Cleaned ', cast(conv_id % 89 as string), ' ', role) END",
     },
 )
+#: The models and methods that can be asked, with their settings.
+MODELS = Logical(
+    "supplier",
+    (),
+    {
+        "model": "lower(replace(s_name, '#', '-'))",
+        "provider": "CASE s_nationkey % 4 WHEN 0 THEN 'perplexity' WHEN 1 THEN 'openrouter' WHEN 2 THEN 'openai' ELSE 'local' END",
+        "price": "cast(s_suppkey * 37 % 400 as double) / 100",
+        "accuracy": "cast(s_suppkey * 53 % 100 as double) / 100",
+        "priority": "s_suppkey * 31 % 97",
+        "enabled": "s_suppkey % 3 <> 0",
+    },
+)
