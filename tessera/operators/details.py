@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from tessera.functions import names
 from tessera.functions.compat import js_round
 from tessera.operators.extraction import DECODE_SQL, decoded
 from tessera.operators.scoring import SUFFIX_SQL, WORDS_SQL, listed
+from tessera.operators.structured import named_holders
 from tessera.plans.register import query
 from tessera.sources.logical import CANDIDATES, DOMAINS, DUMPS, ENTITIES, LOG
 
@@ -106,43 +106,11 @@ JSON_LD_SQL = f"(SELECT lei_code, legal_name, concat('{{\"@graph\": [{{\"@type\"
 
 @query("X42_X43_json_ld", f"SELECT lei_code, json_extract_string(doc, '$.@graph[1].name') AS name, 0.95 AS confidence FROM {JSON_LD_SQL} j")
 def json_ld(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of organisations anywhere in linked data. The walk is recursive, so it runs as an Arrow function on the documents that hold any."""
+    """The most trusted name anywhere in linked data."""
     doc = F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, {"@type": "Organization", "name": "'), "legal_name", F.lit('"}]}'))
-    rows = ENTITIES.read(spark, sf).select("lei_code", doc.alias("doc")).filter(F.col("doc").contains('"@type"'))
-    found = rows.select("lei_code", organisations()(F.col("doc")).alias("x"))
-    return found.select("lei_code", "x.name", "x.confidence")
-
-
-def organisations():
-    """A function from linked data to the best name in it, by the kind of its holder."""
-    import json
-
-
-    trust = {"Organization": 0.95, "Corporation": 0.95, "LocalBusiness": 0.9, "Brand": 0.85}
-
-    def walk(node):
-        if isinstance(node, list):
-            for x in node:
-                yield from walk(x)
-        elif isinstance(node, dict):
-            kind = node.get("@type")
-            if kind in trust and isinstance(node.get("name"), str):
-                yield trust[kind], node["name"]
-            for x in node.values():
-                yield from walk(x)
-
-    @F.pandas_udf("name string, confidence double")
-    def best(docs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in docs:
-            try:
-                found = max(walk(json.loads(text)), key=lambda x: x[0], default=(None, None))
-            except (TypeError, ValueError):
-                found = (None, None)
-            rows.append((found[1], found[0]))
-        return pd.DataFrame(rows, columns=["name", "confidence"])
-
-    return best
+    found = named_holders(ENTITIES.read(spark, sf).select("lei_code", doc.alias("doc")), "lei_code", "doc")
+    best = F.min_by(F.struct("name", "confidence"), F.struct(-F.col("confidence"), "path")).alias("x")
+    return found.groupBy(F.col("id").alias("lei_code")).agg(best).select("lei_code", "x.name", "x.confidence")
 
 
 STEM_SQL = "lower(string_split(p.domain, '.')[-2])"
