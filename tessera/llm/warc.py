@@ -63,8 +63,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The content of a gzip file of one or many members, a piece at a time."""
-    engine, waiting = zlib.decompressobj(31), b""
+    """The content of a gzip file of one or many members, a piece at a time; an error where it ends before a member's trailer does. An empty file has no content."""
+    engine, waiting, begun = zlib.decompressobj(31), b"", False
     while True:
         if not waiting:
             waiting = stream.read(PIECE)
@@ -72,9 +72,12 @@ def inflate(stream) -> Iterator[bytes]:
                 break
         if engine.eof:
             engine = zlib.decompressobj(31)
+        begun = True
         yield engine.decompress(waiting, PIECE * 4)
         waiting = engine.unused_data if engine.eof else engine.unconsumed_tail
     yield engine.flush()
+    if begun and not engine.eof:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, dedup, langid, mixing, negatives, partenum, pii, queries, substrings
+from tessera.llm import alignment, dedup, langid, mixing, negatives, partenum, pii, queries, substrings, warc
 from tests.conftest import SF
 
 DOC = "doc_id long, text string"
@@ -277,3 +277,17 @@ def test_time_of_many_digits_is_in_proportion(spark):
     seconds([(0, many(1000))])
     short = seconds([(i, many(1000)) for i in range(20)])
     assert seconds([(0, many(20_000))]) < 5 * short + 5
+
+
+def test_cut_archives_are_errors():
+    """Wherever a gzip stream is cut, at the end of a record too, the reader says so."""
+    import gzip
+    import io
+
+    whole = warc.record(1, "http://a", b"one") + warc.record(2, "http://b", b"two")
+    packed = gzip.compress(whole)
+    assert b"".join(warc.inflate(io.BytesIO(packed))) == whole and b"".join(warc.inflate(io.BytesIO(packed * 2))) == whole * 2
+    for cut in (1, 5, 8, 9, len(packed) // 2):
+        with pytest.raises((ValueError, EOFError)):
+            list(warc.records(warc.inflate(io.BytesIO(packed[:-cut]))))
+    assert list(warc.records(warc.inflate(io.BytesIO(b"")))) == []
