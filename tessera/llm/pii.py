@@ -2,7 +2,8 @@
 
 Base spans follow fixed formats and always stay. Generators with high recall propose further spans, which may overlap; every candidate gets a few
 discrete format and context features; runs of digits inside base matches that fail are candidates too. The counts of all feature combinations over the whole corpus (a bounded table) train boosted trees: candidates of the base
-formats teach, those that pass the formats' checks as positive and those that fail as negative; the check itself is no feature. Thresholds for each kind are set
+formats teach, those that pass the formats' checks as positive and those that fail as negative; addresses that lack a domain teach as failing e-mail. Neither the check nor what decides it is a feature, so that
+the trees learn from the context. Thresholds for each kind are set
 where the precision holds on documents that do not teach; generated candidates that pass their check, score above and overlap no base span of their kind are added.
 """
 
@@ -51,6 +52,8 @@ LOOSE = {
     "card": Format(r"(?<![0-9])[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}[./_][0-9]{4}(?![0-9])", r"[0-9]{4}[./_][0-9]{4}[./_]"),
     "phone": Format(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|00[0-9]{1,3}[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
 }
+#: An at sign between nothing that makes an address: teaches as an e-mail that fails, since the base format has no check to fail.
+NEAR_EMAIL = Format(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]*+(?!\.[A-Za-z0-9-]|@)", "@")
 #: Generators inside base matches that fail: runs of so many digits that begin and end where groups of digits do. Each matches the first digit and looks at the rest.
 CARD_RUNS = {n: Format(rf"(?<![0-9])(?=([0-9](?:[\x20-]?[0-9]){{{n - 1}}})(?![0-9]))[0-9]", "[0-9]") for n in range(16, 20)}
 PHONE_RUNS = [rf"^\+[0-9](?:[\x20().-]*[0-9]){{{n - 1}}}(?![0-9])" for n in range(8, 16)]
@@ -145,6 +148,8 @@ def side(char: Column) -> Column:
 
 #: Names of the features of a candidate; each takes few values, so the combinations are at most some 20,000 for any corpus.
 FEATURES = ("kind", "digits", "parts", "before", "after", "cue", "plain")
+#: Kinds whose check follows from the number of digits or parts: both are 0 there, else the trees would only learn the check.
+BY_COUNT = ("email", "ip", "phone")
 
 
 def features(kind: str, x: Column) -> Column:
@@ -152,8 +157,8 @@ def features(kind: str, x: Column) -> Column:
     only = digits(x["match"])
     values = (
         F.lit(KINDS.index(kind)),
-        F.least(F.length(only), F.lit(20)),
-        F.least(F.size(F.split(x["match"], "[^0-9A-Za-z]+")), F.lit(6)),
+        F.lit(0) if kind in BY_COUNT else F.least(F.length(only), F.lit(20)),
+        F.lit(0) if kind in BY_COUNT else F.least(F.size(F.split(x["match"], "[^0-9A-Za-z]+")), F.lit(6)),
         side(F.right(x["left"], F.lit(1))),
         side(x["right"]),
         F.when(x["left"].rlike(CUES[kind]), 1).otherwise(0),
@@ -163,21 +168,25 @@ def features(kind: str, x: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, base, loose``: arrays of (kind, start, end, valid, features) of the base formats, failing ones too, and of the generators."""
+    """``doc_id, base, loose``: arrays of (kind, start, end, valid, features) of the base formats, failing ones too, and of the generators. A failing phone match of more than 15 digits may hold a number, so it is none of the
+    failing ones."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    raw = rows.select("doc_id", *[spans(F.col("text"), f).alias(f"{name}_{k}") for name, formats in (("base", BASE), ("loose", LOOSE)) for k, f in formats.items()])
+    raw = rows.select("doc_id", *[spans(F.col("text"), f).alias(f"{name}_{k}") for name, formats in (("base", BASE), ("loose", LOOSE), ("near", {"email": NEAR_EMAIL})) for k, f in formats.items()])
 
     def failing(k: str, least: int) -> Column:
         return F.filter(f"base_{k}", lambda x: (F.length(x["match"]) > least) & ~passes(k, x["match"]))
 
     inner = {"card": F.flatten(F.transform(failing("card", 16), inner_cards)), "phone": F.flatten(F.transform(failing("phone", 8), inner_phones))}
-    raw = raw.withColumns({f"loose_{k}": F.concat(f"loose_{k}", c) for k, c in inner.items()})
+    raw = raw.withColumns({f"loose_{k}": F.concat(f"loose_{k}", c) for k, c in inner.items()} | {"base_phone": F.filter("base_phone", lambda x: F.length(digits(x["match"])) <= 15)})
 
-    def described(name: str) -> Column:
-        one = lambda k: lambda x: F.struct(F.lit(KINDS.index(k)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), passes(k, x["match"]).alias("valid"), features(k, x).alias("features"))
-        return F.concat(*[F.transform(f"{name}_{k}", one(k)) for k in KINDS])
+    def one(k: str, valid: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(KINDS.index(k)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), valid(x["match"]).alias("valid"), features(k, x).alias("features"))
 
-    return raw.select("doc_id", described("base").alias("base"), described("loose").alias("loose"))
+    def described(name: str) -> list[Column]:
+        return [F.transform(f"{name}_{k}", one(k, lambda m, k=k: passes(k, m))) for k in KINDS]
+
+    near = F.transform("near_email", one("email", lambda m: F.lit(False)))
+    return raw.select("doc_id", F.concat(*described("base"), near).alias("base"), F.concat(*described("loose")).alias("loose"))
 
 
 def accepted(found: DataFrame, precision: float = PRECISION) -> dict[str, float]:
