@@ -10,6 +10,7 @@ null flags, the uint32 id counts, the control bytes and the data bytes. ``ranks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -77,6 +78,17 @@ def flat_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 #: Letters and digits after which a text may be cut before ASCII punctuation: normalised and lower-cased, each still ends with a letter or digit.
 CUT_AFTER = r"A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}\x{4E00}-\x{9FFF}"
+#: Fixed values, as a tokenizer file writes them: the normaliser and the splitter under which texts may be cut into parts.
+PARTED_BY = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Words that the library gets at once.
 TOGETHER = 1024
 
@@ -85,20 +97,32 @@ class _Words:
     """Ids of white-space separated words by the tokenizers library. The file's normaliser and splitter treat each such word by itself, so equal words
     have equal ids wherever they stand. Between most letters or digits and ASCII punctuation the splitter parts too, so texts are cut there as well (but for
     texts that hold a special token, which would fall apart); parts that are all ASCII are looked up in lower case, and the library sees each
-    distinct part once."""
+    distinct part once. All this holds for files with the normaliser and splitter of PARTED_BY; of any other file the library gets whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would crowd out other tasks
         self.tokenizer = Tokenizer.from_file(path)
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.tokenizer.no_truncation()  # whole texts, each by itself
+        self.tokenizer.no_padding()
+        added_tokens = self.tokenizer.get_added_tokens_decoder().values()
+        added = {t.content for t in added_tokens}
         self.special = "|".join(re.escape(t) for t in sorted(added)) or r"[^\s\S]"
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.parts = Remembered(REMEMBERED)
+        self.parted = self._may_part(added_tokens)
+
+    def _may_part(self, added_tokens) -> bool:
+        """Whether the file is one whose texts may be cut: its normaliser and splitter are known, a token ends each word, and added tokens match as they stand, not in normalised
+        text."""
+        settings = json.loads(self.tokenizer.to_str())
+        plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added_tokens)
+        steady = settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
+        return plain and steady and self.ends_word.any() and all(settings[k] == v for k, v in PARTED_BY.items())
 
     def _call(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,6 +148,10 @@ class _Words:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of each text."""
+        if not self.parted:
+            found = self._call(texts)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
         column = pa.array(texts, pa.large_string())
         whole = pc.match_substring_regex(column, self.special)
         parted = pc.if_else(whole, column, pc.replace_substring_regex(column, rf"([{CUT_AFTER}])([!-/:-@\[-`{{-~])", r"\1 \2"))

@@ -275,6 +275,35 @@ def test_words_fuzz():
         assert one.tolist() == want.ids, text
 
 
+def test_words_of_other_files(tmp_path):
+    """Files whose texts may not be cut at spaces, or whose tokens are added to normalised text, give the library's ids too; so does one that shortens and pads, with whole texts."""
+    from tokenizers import AddedToken, Tokenizer, pre_tokenizers
+
+    known = public_tokenizers.path("word_bpe_49k.json")
+    assert token_store._Words(known).parted
+    paths = [public_tokenizers.path("byte_bpe_50k.json")]
+    for change in (lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.ByteLevel()), lambda t: setattr(t, "normalizer", None), lambda t: t.add_tokens([AddedToken("new york", normalized=True)])):
+        changed = Tokenizer.from_file(known)
+        change(changed)
+        paths.append(str(tmp_path / f"{len(paths)}.json"))
+        changed.save(paths[-1])
+    rng = random.Random(10)
+    texts = ["In New York, NEW  york's", "", *[odd_text(rng) for _ in range(300)]]
+    for path in paths:
+        words = token_store._Words(path)
+        assert not words.parted
+        ids, sizes = words.encode(texts)
+        tokenizer = Tokenizer.from_file(path)
+        for text, one in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert one.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, (path, text)
+    short = Tokenizer.from_file(known)
+    short.enable_truncation(4)
+    short.enable_padding(length=8)
+    short.save(str(tmp_path / "short.json"))
+    got, want = (token_store._Words(p).encode(texts) for p in (str(tmp_path / "short.json"), known))
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
 def test_varint():
     values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(values) + 1):
