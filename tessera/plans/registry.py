@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.operators import addresses, analytics, answers, changes, claims, crawl, details, entities, evidence, exports, extraction, footers, graph, judgements, knowledge, ladders, lookups, metadata, records, relational, scoring, similar, sources, structured, texts  # noqa: F401  they register themselves
+from tessera.operators import addresses, analytics, answers, changes, claims, crawl, details, entities, evidence, exports, extraction, footers, graph, judgements, knowledge, ladders, lookups, metadata, records, relational, scoring, sections, similar, sources, structured, texts  # noqa: F401  they register themselves
 from tessera.plans.register import QUERIES, SQL, Query
 from tessera.streaming import events, stalls  # noqa: F401
 
