@@ -288,13 +288,14 @@ class Model:
             kinds = np.bincount(pairs // len(self.odds), minlength=n)
         return np.c_[np.log1p(total), most, np.log1p(exact), np.log1p(misspelt), np.log1p(kinds), np.log1p(np.bincount(owner, whole * quoted, n)), np.log1p(size), np.log1p(100 * total / (size + 10))]
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str], shift: float = 0.0) -> np.ndarray:
+        """The scores, with the log odds moved by the shift."""
         x = (self.features(texts) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.coefficients[:-1] + self.coefficients[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x @ self.coefficients[:-1] + self.coefficients[-1] + shift, -30, 30)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, id_col: str, text_col: str, label_col: str) -> list[tuple[int, str]]:
-    """A bounded sample of labelled texts, about as many of either class, chosen by hashes of ids; only their ids join the texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """A bounded sample of labelled texts, about as many of either class, chosen by hashes of ids; only their ids join the texts. And how many ids of either class teach in all."""
     known = labels.filter(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -305,25 +306,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most 3 * per_class ids are broadcast
     found = rows.join(F.broadcast(some), "id").select("id", "label", "spot", F.substring("text", at, F.lit(TRAIN_CHARS)).alias("text")).orderBy("spot", "id", "text").limit(3 * per_class)
-    return [(r["label"], r["text"]) for r in found.collect()]
+    return [(r["label"], r["text"]) for r in found.collect()], counts
+
+
+def prior_shift(rows: list[tuple[int, str]], counts: dict[int, int]) -> float:
+    """What the sample's share of toxic texts adds to the log odds beside that of all labels: a model that learnt from as many of either class takes clean texts for likelier toxic than they are."""
+    toxic = sum(label for label, _ in rows)
+    return math.log(counts[1] / counts[0]) - math.log(toxic / (len(rows) - toxic))
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` for each row of docs. ``train`` selects the rows of labels that teach.
 
-    The score depends on the text alone; a null text scores as an empty one. An id labelled more than once is toxic if any of its labels is. Without labels of both
+    The score depends on the text alone, and is the chance at the share of toxic labels among all that teach; a null text scores as an empty one. An id labelled more than once is toxic if any of its labels is. Without labels of both
     classes the score is the share of toxic labels (0 without any). Very long texts are read whole; repeated rows each get a row."""
-    rows = training_rows(docs, labels, train, per_class, id_col, text_col, label_col)
+    rows, counts = training_rows(docs, labels, train, per_class, id_col, text_col, label_col)
     toxic = sum(label for label, _ in rows)
     model = docs.sparkSession.sparkContext.broadcast(Model(rows) if 0 < toxic < len(rows) else None)
     constant = toxic / len(rows) if rows else 0.0
+    shift = prior_shift(rows, counts) if model.value else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("toxicity")
         for batch in batches:
             done = 0
             for texts in text_groups(batch.column(1), 1 << 21):
-                scores = model.value.score(texts) if model.value else np.full(len(texts), constant)
+                scores = model.value.score(texts, shift) if model.value else np.full(len(texts), constant)
                 yield pa.record_batch([batch.column(0).slice(done, len(texts)), pa.array(scores, pa.float64())], ["doc_id", "score"])
                 done += len(texts)
 

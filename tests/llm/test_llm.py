@@ -478,6 +478,12 @@ def test_toxicity_real(spark):
     assert right >= 0.6 * true > 0 and right >= 0.9 * said
 
 
+def test_toxicity_prior(spark):
+    """Scores are chances at the labels' own share of toxic texts, however the sample is made up."""
+    assert toxicity.prior_shift([(1, "a"), (0, "b"), (0, "c")], {1: 10, 0: 20}) == pytest.approx(0)
+    assert toxicity.prior_shift([(1, "a"), (0, "b")], {1: 10, 0: 90}) == pytest.approx(np.log(1 / 9))
+
+
 def test_toxicity_long_texts_only(spark):
     """A class that has only long texts is learned too."""
     rng = random.Random(2)
