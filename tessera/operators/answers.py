@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ FENCED, BRACES = r"```(?:json)?\s*([\s\S]*?)```", r"\{[\s\S]*\}"
 LIST_KEY, LAST_KEY, CLOSING = '"rankedEntities"', '"overallReasoning"', '], "overallReasoning": "Analysis completed" }'
 #: A string as a whole, or a comma before what closes; strings are kept, so commas within them stay.
 TRAILING = r'("(?:[^"\\]|\\.)*")|,(\s*[}\]])'
+#: The same for the JVM, whose stack would hold a frame for each character of a string.
+TRAILING_JVM = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|,(\s*[}\]])'
 STEPS = ["as it is", "commas", "quotes", "closed"]
 
 
@@ -25,7 +29,7 @@ def body(text: Column) -> Column:
 
 
 def without_trailing_commas(text: Column) -> Column:
-    return F.regexp_replace(text, TRAILING, "$1$2")
+    return F.regexp_replace(text, TRAILING_JVM, "$1$2")
 
 
 def closed(text: Column) -> Column:
@@ -34,17 +38,23 @@ def closed(text: Column) -> Column:
     return F.when(text.contains(LIST_KEY) & ~text.contains(LAST_KEY) & (last != ""), F.concat(last, F.lit(CLOSING)))
 
 
-def repaired(text: Column) -> Column:
-    """``how, answer``: the first repair after which the JSON parses, and the answer as VARIANT; nulls where none helps."""
-    plain = body(text)
-    commas = without_trailing_commas(plain)
-    straight = without_trailing_commas(F.translate(plain, "“”„", '"""'))
-    attempts = F.array(plain, commas, straight, closed(straight))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
+def parsed(text: Column, how: str) -> Column:
+    """``how, answer`` of JSON that parses, else null."""
     # the parser stops behind a value; within brackets whatever follows it is an error or a second element
-    alone = lambda a: F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), a, F.lit("]"))), "$", "array<variant>")
-    only = lambda a: F.when(F.size(alone(a)) == 1, F.get(alone(a), 0))
-    parsed = F.transform(attempts, lambda a, i: F.struct(F.get(F.array(*map(F.lit, STEPS)), i).alias("how"), only(F.nullif(F.trim(a), F.lit(""))).alias("answer")))
-    return F.get(F.filter(parsed, lambda x: x["answer"].isNotNull()), 0)
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.nullif(F.trim(text), F.lit("")), F.lit("]"))), "$", "array<variant>")
+    return bound(alone, lambda a: F.when((F.size(a) == 1) & F.get(a, 0).isNotNull(), F.struct(F.lit(how).alias("how"), F.get(a, 0).alias("answer"))))
+
+
+def repaired(text: Column) -> Column:
+    """``how, answer``: the first repair after which the JSON parses, and the answer as VARIANT; nulls where none helps. A repair is made only where those before it failed."""
+    last = lambda straight: F.coalesce(parsed(straight, STEPS[2]), parsed(closed(straight), STEPS[3]))
+    later = lambda plain: bound(without_trailing_commas(F.translate(plain, "“”„", '"""')), last)
+    return bound(body(text), lambda plain: F.coalesce(parsed(plain, STEPS[0]), parsed(without_trailing_commas(plain), STEPS[1]), later(plain)))
 
 
 _ENTITY = """concat('{"claimNumber": ', cast(rn as string), ', "entityName": "', legal_name, '", "leiCode": "', lei_code, '", "rank": ', cast(rn as string), '}')"""
@@ -81,7 +91,7 @@ def repaired_answers(spark: SparkSession, sf: str) -> DataFrame:
     top = CANDIDATES.read(spark, sf).withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
     lists = top.groupBy("domain_id").agg(F.array_sort(F.collect_list(F.struct("rn", F.expr(_ENTITY).alias("e")))).alias("l"))
     texts = lists.select("domain_id", F.array_join(F.transform("l", lambda x: x["e"]), ", ").alias("list")).select("domain_id", F.expr(SHAPED).alias("text"))
-    rows = texts.select("domain_id", F.element_at(F.transform(F.array("text"), repaired), 1).alias("x"))
+    rows = texts.select("domain_id", bound(F.col("text"), repaired).alias("x"))
     get = lambda path, kind: F.try_variant_get("x.answer", path, kind)
     entities = F.when(F.col("x.how").isNotNull(), F.size(get("$.rankedEntities", "array<variant>")))
     return rows.select("domain_id", F.col("x.how").alias("how"), entities.alias("entities"), get("$.rankedEntities[0].entityName", "string").alias("best"), get("$.overallReasoning", "string").alias("reasoning"))

@@ -29,3 +29,16 @@ def test_repairs(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "id int, text string")
     got = df.select("id", answers.repaired(F.col("text")).alias("x")).select("id", "x.how", F.to_json("x.answer").alias("j")).orderBy("id").collect()
     assert [(r["how"], r["j"] and json.loads(r["j"])) for r in got] == [(c[1], c[2]) for c in CASES]
+
+
+def test_long_strings(spark):
+    """A string of any length is one piece to the repair of commas."""
+    text = '{"a": "' + "x, ]" * 50_000 + '", }'
+    got = spark.createDataFrame([(text,)], "text string").select(answers.repaired(F.col("text")).alias("x")).select("x.how", F.length(F.try_variant_get("x.answer", "$.a", "string")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("commas", 200_000)]
+
+
+def test_a_step_only_where_those_before_failed(spark):
+    """The parser stands once a step, not twice for each of all steps."""
+    plan = spark.createDataFrame([("{}",)], "text string").select(answers.repaired(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= len(answers.STEPS)
