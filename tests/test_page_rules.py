@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names
 from tessera.operators import entities, evidence, judgements, knowledge, ladders, metadata
+from tests.conftest import SF
 
 
 def one(spark, value, *columns):
@@ -225,3 +226,9 @@ def test_knowledge(spark):
     assert sorted(map(tuple, knowledge.accumulated(prior, found).collect())) == [("A", "new", 6), ("B", "kept", 1), ("C", "first", 1)]
     rows = spark.createDataFrame([(("a,b", 'say "x"'), [1, 2])], "r struct<p: string, q: string>, l array<int>")
     assert rows.select(knowledge.csv_line(["r.p", "r.q", "l"], rows).alias("x")).collect()[0]["x"] == '"a,b","say ""x""","[1,2]"'
+
+
+def test_facts_once(spark):
+    """Each dictionary of a page's metadata is read in one pass: what a judgement names twice is not computed twice."""
+    plan = metadata.described(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("banking|", "hereby|", "United States|", "A\\$[")] == [1, 1, 1, 1]
