@@ -23,9 +23,14 @@ LEGAL_ENTITIES = [
 ]
 
 
+#: What no legal name can begin in: from a border on, the rest of a run that holds no ending behind it; before one, what stands between words.
+PASSED = rf"|{BORDER}[\w\s&-]++|[\s&-]++"
+
+
 def legal_entities(text: Column) -> Column:
-    """The first ten distinct legal names of 4 to 99 characters, country by country."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit("(?i)" + bordered(p)), F.lit(0)), F.trim) for p in LEGAL_ENTITIES])
+    """The first ten distinct legal names of 4 to 99 characters, country by country. A run without an ending is passed as a whole, an empty find, so the steps grow with the text."""
+    every = lambda p: F.filter(F.regexp_extract_all(text, F.lit(f"(?i)({bordered(p)}){PASSED}"), F.lit(1)), lambda x: x != "")
+    found = F.concat(*[F.transform(every(p), lambda x: F.trim(x)) for p in LEGAL_ENTITIES])
     return F.slice(F.filter(F.array_distinct(found), lambda x: F.length(x).between(4, 99)), 1, 10)
 
 
@@ -247,6 +252,16 @@ NER = [
     r"\b([A-Z][A-Za-z\s&,.'-]+?(?:Inc\.?|Corp\.?|Corporation|Ltd\.?|Limited|LLC|Company|Co\.?))\b",
     r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]*)*(?:\s+&\s+[A-Z][a-z]+)*)\s+(?:Inc\.?|Corp\.?|Corporation|Ltd\.?|Limited|LLC|Company|Co\.?)",
 ]
+#: The same matches for the JVM, in steps that grow with the text. Behind a sign the first year is as good as any, and of a run of letters only the first one needs a try: what fails there
+#: fails further on. Where a sign or a letter finds no ending, the line or the run is passed as a whole, with an empty entity.
+_NAME = r"[A-Za-z\s&,.'-]"
+_FIRST = r"(?<![A-Za-z][\s&,.'-]{0,20})"
+NER_JVM = [
+    NER[0].replace(r".*?(\d{4}).*?(", rf"(?:(?>.*?(\d{{4}})).*?{_FIRST}(") + "|.*+)",
+    NER[1].replace(r".*?(\d{4}).*?(", rf"(?:(?>.*?(\d{{4}})).*?{_FIRST}(") + "|.*+)",
+    NER[2] + rf"|\b[A-Z]{_NAME}*+",
+    NER[3],
+]
 NER_GROUPS = [2, 2, 1, 1]
 NER_SUFFIX, NER_GENERIC = r"(?i)\b(?:Inc\.?|Corp\.?|Corporation|Ltd\.?|Limited|LLC|Company)\b", r"(?i)\b(?:All Rights Reserved|Privacy Policy|Terms|Conditions)\b"
 
@@ -274,7 +289,7 @@ def text_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Named entities of a page's text by each pattern, with the best confidence of their matches."""
     rows = DUMPS.read(spark, sf).select("dump_id", tagless(F.col("html")).alias("t"))
     every = lambda p, g: F.regexp_extract_all("t", F.lit(bordered(p)), F.lit(g))
-    lists = [_tagged(every(p, g), every(p, 0), n) for n, (p, g) in enumerate(zip(NER, NER_GROUPS, strict=True), 1)]
+    lists = [_tagged(every(p, g), every(p, 0), n) for n, (p, g) in enumerate(zip(NER_JVM, NER_GROUPS, strict=True), 1)]
     found = rows.select("dump_id", F.explode(F.concat(*lists)).alias("x")).filter(F.length("x.entity").between(4, 99))
     return found.groupBy("dump_id", F.col("x.pattern").alias("pattern"), F.col("x.entity").alias("entity")).agg(F.max(ner_confidence(F.col("x.entity"), F.col("x.match"))).alias("confidence"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +234,51 @@ def test_facts_once(spark):
     """Each dictionary of a page's metadata is read in one pass: what a judgement names twice is not computed twice."""
     plan = metadata.described(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.count(x) for x in ("banking|", "hereby|", "United States|", "A\\$[")] == [1, 1, 1, 1]
+
+
+def _texts():
+    """Texts of the pieces that the patterns are about, in any order, and one of a single long run of words."""
+    rng = random.Random(11)
+    parts = ["Acme", "steel", "AND", "GmbH", "gmbh", "Co.", "KG", "& ", "Inc.", "Inc", "Ltd", "L.L.C.", "S.A.", "AG", "Corp", "Company", "2024", "12345", "12345-6", "©", "Copyright", ", ", ". ", "-", "'", "é", "0", "12", "main street", "ny", "a, ny 12345", "in", " ", "  ", "x"]
+    return ["".join(rng.choice(parts) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["word " * 300 + "2024", "© 2024 " + "word " * 300]
+
+
+def _same_finds(spark, old, new, group, column=lambda c: c):
+    df = spark.createDataFrame([(t,) for t in _texts()], "v string").select(column(F.col("v")).alias("v"))
+    find = lambda p: F.filter(F.regexp_extract_all("v", F.lit(p), F.lit(group)), lambda x: x != "")
+    got = df.select(find(old).alias("old"), find(new).alias("new")).collect()
+    assert [r["new"] for r in got] == [r["old"] for r in got] and sum(len(r["new"]) for r in got) > 5
+
+
+@pytest.mark.parametrize("at", range(len(judgements.LEGAL_ENTITIES)))
+def test_legal_patterns(spark, at):
+    p = judgements.bordered(judgements.LEGAL_ENTITIES[at])
+    df = spark.createDataFrame([(t,) for t in _texts()], "v string")
+    old = F.regexp_extract_all("v", F.lit(f"(?i){p}"), F.lit(0))
+    new = F.filter(F.regexp_extract_all("v", F.lit(f"(?i)({p}){judgements.PASSED}"), F.lit(1)), lambda x: x != "")
+    got = df.select(old.alias("old"), new.alias("new")).collect()
+    assert [r["new"] for r in got] == [r["old"] for r in got]
+
+
+@pytest.mark.parametrize("at", range(3))
+def test_name_patterns(spark, at):
+    _same_finds(spark, judgements.bordered(judgements.NER[at]), judgements.bordered(judgements.NER_JVM[at]), judgements.NER_GROUPS[at])
+
+
+@pytest.mark.parametrize("at", range(3))
+def test_street_patterns(spark, at):
+    _same_finds(spark, evidence.STREETS[at], evidence.STREETS_JVM[at], 0, F.lower)
+
+
+def test_long_runs(spark):
+    """Steps grow with the text: these took the square of its length, hours for such a text."""
+    text = "tone " * 200_000 + "2024 © 2024 Copyright 2024 " + "tone " * 200_000
+    df = spark.createDataFrame([(text,)], "v string")
+    every = [(p, 1) for p in (f"(?i)({judgements.bordered(x)}){judgements.PASSED}" for x in judgements.LEGAL_ENTITIES)] + [(judgements.bordered(p), g) for p, g in zip(judgements.NER_JVM[:3], judgements.NER_GROUPS, strict=False)]
+    finds = [F.size(F.filter(F.regexp_extract_all("v", F.lit(p), F.lit(g)), lambda x: x != "")) for p, g in every] + [F.regexp_count("v", F.lit(p)) for p in evidence.STREETS_JVM]
+    assert set(df.select(*[c.alias(f"c{i}") for i, c in enumerate(finds)]).collect()[0]) == {0}
+
+
+def test_legal_names_keep_their_digits(spark):
+    """Blanks are trimmed; the place of a find in its list is no character to trim."""
+    assert one(spark, "0 Acme GmbH. 1 Beta GmbH, 2 Gamma GmbH", judgements.legal_entities(F.col("v")))[0] == ["0 Acme GmbH", "1 Beta GmbH", "2 Gamma GmbH"]
