@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.register import query
@@ -63,13 +63,17 @@ def corporate_family(spark: SparkSession, sf: str) -> DataFrame:
           >= greatest(1, least(len(list_filter(regexp_split_to_array(lower(a.legal_name), '\\s+'), lambda w: length(w) > 2)), len(list_filter(regexp_split_to_array(lower(b.legal_name), '\\s+'), lambda w: length(w) > 2))) * 0.5)""",
 )
 def inferred(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs within one domain's search result that share enough words: only candidates with a word in common meet, by domain and word, and the words they share are counted."""
-    found = CANDIDATES.read(spark, sf).select("domain_id", "lei_code", "legal_name", "jurisdiction", "city").distinct()
+    """Pairs within one domain's search result that share enough words: only candidates with a word in common meet, by domain and word, and the words they share are counted.
+
+    Rows lie together by domain first, so what counts within a domain needs no further exchange; a word that one candidate of a domain has alone meets nothing and is not sent again."""
     c = F.col
-    words = found.withColumn("words", F.filter(F.split(F.lower("legal_name"), r"\s+"), lambda w: F.length(w) > 2)).withColumn("me", F.struct("lei_code", "legal_name", "jurisdiction", "city", F.size("words").alias("n")))
-    every = words.select("domain_id", "me", F.explode("words").alias("word"))
-    once = words.select("domain_id", c("me").alias("you"), F.explode(F.array_distinct("words")).alias("word"))
-    met = every.join(once, ["domain_id", "word"]).filter("me.lei_code < you.lei_code").groupBy("domain_id", "me", "you").agg(F.count("*").alias("shared"))
+    found = CANDIDATES.read(spark, sf).select("domain_id", "lei_code", "legal_name", "jurisdiction", "city").repartition("domain_id").distinct()
+    words = found.withColumn("words", F.filter(F.split(F.lower("legal_name"), r"\s+"), lambda w: F.length(w) > 2))
+    words = words.withColumn("me", F.struct("lei_code", "legal_name", "jurisdiction", "city", F.size("words").alias("n")))
+    once = words.select("domain_id", "me", "words", F.explode(F.array_distinct("words")).alias("word"))
+    several = once.withColumn("rows", F.count("*").over(Window.partitionBy("domain_id", "word"))).filter("rows > 1")
+    kept = several.select("domain_id", "me", "word", F.size(F.filter("words", lambda w: w == c("word"))).alias("times"))
+    met = kept.join(kept.select("domain_id", "word", c("me").alias("you")), ["domain_id", "word"]).filter("me.lei_code < you.lei_code").groupBy("domain_id", "me", "you").agg(F.sum("times").alias("shared"))
     enough = c("shared") >= F.greatest(F.lit(1.0), F.least("me.n", "you.n") * 0.5)
     pairs = met.filter(enough).select("domain_id", c("me").alias("a"), c("you").alias("b"))
     apart = (c("a.jurisdiction") != c("b.jurisdiction")) & ~c("a.city").eqNullSafe(c("b.city"))
