@@ -282,3 +282,13 @@ def test_long_runs(spark):
 def test_legal_names_keep_their_digits(spark):
     """Blanks are trimmed; the place of a find in its list is no character to trim."""
     assert one(spark, "0 Acme GmbH. 1 Beta GmbH, 2 Gamma GmbH", judgements.legal_entities(F.col("v")))[0] == ["0 Acme GmbH", "1 Beta GmbH", "2 Gamma GmbH"]
+
+
+def test_borders(spark):
+    """The cheaper border before a letter finds what the border of both sides finds, also beside letters that are not ASCII."""
+    texts = _texts()[:300] + ["éparis, france", "xparis, france", "paris, france", "über uns", "xüber uns", "_hrb 1", "hrb 1", "中uk limited", "ſiret", "12345 usa"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").select(F.lower("v").alias("v"))
+    old = lambda p: F.col("v").rlike("(?iu)" + p.replace(r"\b", evidence.BORDER))
+    patterns = [p for p, _ in evidence.GEO if p.startswith(r"\b")]
+    assert sum(evidence.jvm(p).startswith("(?iu)" + evidence.BEFORE) for p in patterns) > 25
+    assert df.select(*[F.sum((old(p) != evidence.found(F.col("v"), p)).cast("int")).alias(f"c{i}") for i, p in enumerate(patterns)]).collect()[0] == tuple(0 for _ in patterns)
