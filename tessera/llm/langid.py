@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import text_groups, worker_cache
+from tessera.llm.common import in_small_batches, text_groups, worker_cache
 
 UNKNOWN = "und"
 #: Training texts of each language, and characters of all of them together: with many languages fewer characters of each text teach, then fewer texts. All
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
                 done += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def tag(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
@@ -290,4 +290,4 @@ def tag(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
                 done += len(texts)
 
     schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return in_small_batches(kept).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, materialize, text_groups, worker_cache
+from tessera.llm.common import broadcast_if_small, in_small_batches, materialize, text_groups, worker_cache
 
 WIDTH = 5
 NUM, DEN = 75, 100
@@ -160,7 +160,7 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

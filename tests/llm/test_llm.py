@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -582,6 +583,35 @@ def test_worker_cache():
     assert common.worker_cache("b") == {"y": 2} and common.worker_cache("a") == {}
 
 
+def test_worker_gives_back(monkeypatch):
+    """What an operator freed goes back to the system when another one begins, whether or not it kept anything."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    for operator in ("c", "c", "d", "c"):
+        common.worker_cache(operator)
+    assert len(calls) == 3
+    monkeypatch.undo()
+    common.give_back()
+
+
+def test_small_batches(spark):
+    """The stages of the pipeline that run in Python get long texts in batches of a few MB, not of 64; a size that someone chose stays."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"), F.lit("en").alias("lang"))
+    sizes = lambda: [r["n"] for r in texts.select("text").mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    stages = [lambda: partenum.classes(texts), lambda: langid.tag(texts.limit(1), F.lit(True)), lambda: bpe.token_digests(texts, path, public_tokenizers.PATTERN)]
+    try:
+        for stage in stages:
+            spark.conf.unset(common.BATCH_SETTING)
+            stage()
+            assert sum(sizes()) >= 40_000_000 and max(sizes()) <= 2 * common.BATCH
+        spark.conf.set(common.BATCH_SETTING, "3000000")
+        partenum.classes(texts)
+        assert spark.conf.get(common.BATCH_SETTING) == "3000000"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+
+
 def test_clean_up(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
     folder = common.new_folder(spark, "x")
