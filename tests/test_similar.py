@@ -44,6 +44,14 @@ def test_close_names_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_close_names_verified_where_they_meet(spark):
+    """No aggregate takes in the pairs that share a key before they are verified, and a small input is not packed into one task."""
+    df = spark.createDataFrame([(f"Company {i:03d}",) for i in range(50)], "name string")
+    plan = similar.close_names(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan[plan.index("Join") :].split("\n")[0] and "Aggregate" not in plan[: plan.index("Join")]
+    assert "RepartitionByExpression [token" in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')}" in plan
+
+
 def test_longest_range(spark):
     rng = random.Random(6)
     table = [(0, 0, "all")] + [((rng.getrandbits(32) >> (32 - n)) << (32 - n), n, f"r{n}") for n in range(4, 25) for _ in range(3)]
