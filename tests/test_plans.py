@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessera.operators import relational
 from tessera.plans import registry
+from tests.compare import assert_same
 from tests.conftest import SF
 
 
@@ -20,3 +24,14 @@ def test_lone_words_stay(spark):
     """Both sides of the join by domain and word hold only words of several candidates."""
     plan = _plan(spark, "J7_N3_inferred_relationships")
     assert plan.count("> 1)") == 2 and plan.count("RepartitionByExpression") == 2
+
+
+def test_attempts_dealt(spark, duck, monkeypatch):
+    """The mappings and attempts of one domain meet in several tasks, small inputs are not packed into one, and no row is lost or doubled."""
+    monkeypatch.setattr(relational, "ATTEMPTS", 1, raising=False)
+    name = "J2_mappings_with_attempts"
+    df = registry.queries()[name](spark, SF)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = df.withColumn("task", F.spark_partition_id()).groupBy("domain").agg(F.count_distinct("task").alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] > 1
+    assert_same(df, duck, registry.oracle_sql()[name])
