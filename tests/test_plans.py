@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.operators import relational
@@ -35,3 +36,26 @@ def test_attempts_dealt(spark, duck, monkeypatch):
     tasks = df.withColumn("task", F.spark_partition_id()).groupBy("domain").agg(F.count_distinct("task").alias("n"))
     assert tasks.agg(F.max("n")).first()[0] > 1
     assert_same(df, duck, registry.oracle_sql()[name])
+
+
+def test_mappings_dealt(spark):
+    """A domain with few attempts has its mappings in several tasks all the same."""
+    df = registry.queries()["J2_mappings_with_attempts"](spark, SF).withColumn("task", F.spark_partition_id())
+    assert df.groupBy("domain").agg(F.count_distinct("task").alias("n")).agg(F.max("n")).first()[0] > 1
+
+
+def test_attempts_without_id_dealt(spark, tmp_path, monkeypatch):
+    """Attempts that no id tells apart, all of one domain, meet its mappings in several tasks, each of them once."""
+    table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    orders = table("orders").withColumn("o_custkey", F.lit(1).cast("bigint")).withColumn("o_orderkey", F.when(F.col("o_orderkey") % 6 != 4, F.col("o_orderkey")))
+    changed = {"orders": orders, "customer": table("customer").filter("c_custkey = 1").withColumn("c_mktsegment", F.lit("AUTOMOBILE"))}
+    con = duckdb.connect()
+    for name in ("orders", "customer", "lineitem", "supplier", "nation"):
+        changed.get(name, table(name)).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    monkeypatch.setattr(relational, "ATTEMPTS", 5)
+    monkeypatch.setattr(relational, "SHARES", 1, raising=False)
+    name = "J2_mappings_with_attempts"
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert df.filter("id IS NULL").select(F.spark_partition_id()).distinct().count() > 1
+    assert_same(df, con, registry.oracle_sql()[name])
